@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import near_dedup, packing, quality_rules, toxicity
+from lamina.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
 from lamina.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_simhash_forest,
+        op5_multipart_secrets,
         op7_toxicity_grammar,
         op9_quality_rules,
         op10_best_two_fit,
