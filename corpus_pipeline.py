@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import packing, quality_rules
+from lamina.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
 from lamina.llm.common import table
 
 
@@ -21,12 +21,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; the lexicon is learned from the labels of the documents there are."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the least doc_id stays."""
+    return near_dedup.keep(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reported parts of credentials are struck out of the texts."""
+    return secret_scan.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its bin and place there."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("toxicity_grammar", toxic),
+    ("simhash_forest", dedup),
+    ("multipart_secrets", secrets),
     ("best_two_fit", pack),
 ]
 
