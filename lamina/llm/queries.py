@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
+from lamina.llm import near_dedup, neighbours, packing, preference, quality_rules, secret_scan, toxicity
 from lamina.llm.common import table
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.knn(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_table(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,12 +41,14 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_adaptive_scan,
         op4_simhash_forest,
         op5_multipart_secrets,
         op7_toxicity_grammar,
+        op8_preference_pairs,
         op9_quality_rules,
         op10_best_two_fit,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_preference_pairs": preference.SQL}
