@@ -137,9 +137,10 @@ def hash_tokens(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, hashes
 
 
-def sum_vectors(partials: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+def sum_vectors(partials: DataFrame, dtype: str, partial: str = "") -> dict[int, np.ndarray]:
     """Sums the binary vectors of partials(chunk int, data binary) by chunk, streaming, and collects the sums.
 
+    partial is the type of the elements in partials if it isn't dtype.
     The number and size of chunks are fixed by the caller, so what reaches the driver does not grow with the input.
     """
 
@@ -147,11 +148,11 @@ def sum_vectors(partials: DataFrame, dtype: str) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(data, dtype)
+                values = np.frombuffer(data, partial or dtype).astype(dtype)
                 if chunk in total:
                     total[chunk] += values
                 else:
-                    total[chunk] = values.copy()
+                    total[chunk] = values
         if total:
             yield pa.RecordBatch.from_pydict(
                 {"chunk": pa.array(list(total), pa.int32()), "data": pa.array([v.tobytes() for v in total.values()], pa.binary())}

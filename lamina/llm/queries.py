@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import near_dedup, neighbours, packing, preference, quality_rules, secret_scan, toxicity
+from lamina.llm import near_dedup, neighbours, packing, preference, quality_classifier, quality_rules, secret_scan, toxicity
 from lamina.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.knn(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +45,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op3_adaptive_scan,
         op4_simhash_forest,
         op5_multipart_secrets,
