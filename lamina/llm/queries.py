@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import near_dedup, neighbours, packing, preference, quality_classifier, quality_rules, secret_scan, toxicity
+from lamina.llm import near_dedup, neighbours, packing, preference, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
 from lamina.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
 
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_table(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_adaptive_scan,
         op4_simhash_forest,
         op5_multipart_secrets,
+        op6_url_trees,
         op7_toxicity_grammar,
         op8_preference_pairs,
         op9_quality_rules,
