@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import near_dedup, neighbours, packing, preference, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
+from lamina.llm import near_dedup, neighbours, packing, preference, quality_classifier, quality_rules, secret_scan, subwords, toxicity, url_filter
 from lamina.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encode(table(spark, sf_dir, "documents"))
+
+
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.knn(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_gumbel_top_k,
         op3_adaptive_scan,
         op4_simhash_forest,
         op5_multipart_secrets,
