@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions.types import U64_CARRIER, DeclaredType
+from lamina.functions.types import TYPES, U64_CARRIER, DeclaredType
 
 AGGREGATES = ("sum", "count", "min", "max", "avg")
 
@@ -41,7 +43,12 @@ def aggregate(function: str, column: str, t: DeclaredType, empty_as_default: boo
         c = c.cast("double")
     if function == "avg":
         c = c.cast("double")
-    out = getattr(F, function)(c).cast(result_type(function, t))
+    out = getattr(F, function)(c)
+    if function == "sum" and t.kind == "unsigned":
+        # The carrier of U64 is wider than U64.
+        fits = out.isNull() | (out <= F.lit(Decimal(TYPES["U64"].high)))
+        out = F.when(fits, out).otherwise(F.raise_error(F.lit(f"ARITHMETIC_OVERFLOW: sum({column}) is over U64")))
+    out = out.cast(result_type(function, t))
     if empty_as_default and function != "count":
         out = F.coalesce(out, F.lit(float("nan") if function == "avg" else 0).cast(result_type(function, t)))
     return out.alias(f"{function}({column})")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,9 @@ def condition(p: object, schema: TableSchema) -> Column:
     def operand(x: object) -> Column:
         if isinstance(x, ColumnRef):
             return F.col(f"`{x.name}`")
-        return F.lit(x.value) if column is None else F.lit(x.value).cast(column.type.carrier)
+        if column is None:
+            return F.lit(x.value)
+        return F.lit(Decimal(x.value) if column.type.integral else x.value).cast(column.type.carrier)
 
     return COMPARE[p.op](operand(p.left), operand(p.right))
 
