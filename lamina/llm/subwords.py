@@ -18,28 +18,36 @@ SAMPLES = 2
 ALPHA = 2e-4
 SPACE = "▁"
 SLICE = 1 << 20
+SLOT_BITS, PAIR_BITS = 18, 20
+SPREAD = np.uint64(0xD1342543DE82EF95)
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces by hash: keys (sorted), ids and scaled scores; the ids of the bytes; all pieces' texts, for decoding."""
+    """Pieces' ids and scaled scores; the ids of the bytes; all ids' bytes, for decoding.
 
-    keys: np.ndarray
+    slots is an open hash table of the pieces' keys, at their first SLOT_BITS bits or the next free place, 0 free; at
+    has the piece for each slot. begun tells by the first bits of a hash whether it can be that of a piece's beginning."""
+
+    slots: np.ndarray
+    at: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
-    seen: np.ndarray
+    begun: np.ndarray
     longest: int
     bytes_from: int
     worst: float
-    texts: list[str | int | None]
-    #: texts, with bytes as the characters that Python's surrogateescape stands for them, and nothing for control ids.
-    spelled: list[str]
+    #: Whether some piece can hold two characters side by side, by pair_keys(). Where none can, texts are cut.
+    pairs: np.ndarray
+    #: Of each id the bytes that it stands for: spelled[starts[id] :][: sizes[id]].
+    spelled: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
 
     @staticmethod
     def load(path: str = MODEL, alpha: float = ALPHA) -> "Vocabulary":
-        """From a SentencePiece model with byte fallback, a dummy prefix and no normalisation, whose pieces don't cross
-        from a word into the next one's space."""
+        """From a SentencePiece model with byte fallback, a dummy prefix and no normalisation."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,41 +59,68 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 texts.append(None)
             else:
-                if SPACE in piece.lstrip(SPACE):
-                    raise ValueError(f"piece {piece!r} crosses words")
                 texts.append(piece)
                 known.append(i)
         first = texts.index(0)
         if [texts[first + b] for b in range(256)] != list(range(256)):
             raise ValueError("the model has no byte fallback")
         keys = piece_keys([texts[i] for i in known])
-        order = np.argsort(keys)
-        scores = np.array([model.get_score(known[k]) for k in order]) * alpha
-        seen = np.zeros(1 << 20, bool)
-        seen[keys >> np.uint64(44)] = True
-        ids = np.array(known, np.int32)[order]
-        spelled = ["" if t is None else t if isinstance(t, str) else chr(t if t < 128 else 0xDC00 + t) for t in texts]
-        return Vocabulary(keys[order], ids, scores, seen, max(len(texts[i]) for i in known), first, float(scores[scores > -1e4].min()), texts, spelled)
+        scores = np.array([model.get_score(i) for i in known]) * alpha
+        bits = SLOT_BITS
+        slots, at, begun = np.zeros((1 << bits) + 1024, np.uint64), np.zeros((1 << bits) + 1024, np.int64), np.zeros(1 << 20, bool)
+        for k, key in enumerate(keys.tolist()):
+            free = key >> (64 - bits)
+            while slots[free]:
+                free += 1
+            slots[free], at[free] = key, k
+        begun[piece_keys(sorted({texts[i][:n] for i in known for n in range(1, len(texts[i]))})) >> np.uint64(44)] = True
+        ids = np.array(known, np.int32)
+        raw = [b"" if t is None else t.replace(SPACE, " ").encode() if isinstance(t, str) else bytes([t]) for t in texts]
+        sizes = np.array([len(b) for b in raw])
+        pairs = np.zeros(1 << PAIR_BITS, bool)
+        for t in (texts[i] for i in known):
+            pairs[pair_keys(codes_of(t))] = True
+        return Vocabulary(slots, at, ids, scores, begun, max(len(texts[i]) for i in known), first, float(scores[scores > -1e4].min()), pairs, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Positions in keys of the pieces, -1 of what is none."""
-        out = np.full(len(keys), -1, np.int64)
-        maybe = np.flatnonzero(self.seen[keys >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == keys[maybe], at, -1)
+        """The pieces of the keys, -1 of what is none."""
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.slots[slot]
+        out = np.where(held == keys, self.at[slot], -1)
+        more = np.flatnonzero((held != keys) & (held != 0))
+        while len(more):
+            slot[more] += 1
+            held = self.slots[slot[more]]
+            hit = held == keys[more]
+            out[more[hit]] = self.at[slot[more[hit]]]
+            more = more[~hit & (held != 0)]
         return out
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 bytes of each of several texts, whose ids end at `ends`: spaces for the marks, without the first,
+        which encoding adds. Control ids are nothing."""
+        size = self.sizes[ids]
+        last = np.cumsum(size)
+        raw = self.spelled[np.repeat(self.starts[ids] - (last - size), size) + np.arange(last[-1] if len(last) else 0)].tobytes()
+        at = np.concatenate([[0], last])[np.concatenate([[0], ends])].tolist()
+        return [raw[x:y].removeprefix(b" ") for x, y in zip(at, at[1:])]
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: spaces for the marks, without the first, which encoding adds; bytes that don't form UTF-8
-        become U+FFFD. Ids outside the vocabulary raise an IndexError, control ids are nothing."""
-        text = "".join(map(self.spelled.__getitem__, ids))
-        return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        """The text of ids; bytes that don't form UTF-8 become U+FFFD. Ids outside the vocabulary raise an IndexError."""
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def pair_keys(codes: np.ndarray) -> np.ndarray:
+    """Hashes of each two neighbours, PAIR_BITS each."""
+    with np.errstate(over="ignore"):
+        both = codes[:-1].astype(np.uint64) << np.uint64(21) | codes[1:].astype(np.uint64)
+        return ((both + np.uint64(1)) * SPREAD >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
     up, _ = powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
@@ -98,7 +133,7 @@ def keys_at(sums: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np
     """Hashes of the substrings."""
     _, down = powers(len(sums))
     with np.errstate(over="ignore"):
-        return mix((sums[start + length] - sums[start]) * down[start] + np.asarray(length).astype(np.uint64))
+        return (sums[start + length] - sums[start]) * down[start] * SPREAD + np.asarray(length).astype(np.uint64)
 
 
 def piece_keys(pieces: list[str]) -> np.ndarray:
@@ -109,42 +144,51 @@ def piece_keys(pieces: list[str]) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """Of the distinct words of some texts, longest first. Node row[r] + w is r characters before the end of word w.
+    """Of the distinct words of some texts, longest first. Node row[r] + w is r characters before the end of word w;
+    left is that r of each node.
 
-    The edges of a node are first[node] .. first[node + 1] - 1, longest pieces first: node; id, the piece's or -2 - c for the
-    bytes of character c; to, the node it leads to; logp, its log probability given the node, over all completions;
-    rest, that of the node's other edges together; run, the running sum of the node's probabilities.
+    The edges of a node are first[node] .. first[node + 1] - 1, shortest pieces first: node; id, the piece's or -2 - c for
+    the bytes of character c; to, the node it leads to; weight, its scaled score; p, its probability given the node, over
+    all completions; run, the running sum of the node's probabilities. beta is the log of a node's completions' weight.
     """
 
     text: np.ndarray
     word: np.ndarray
     size: np.ndarray
     row: np.ndarray
+    left: np.ndarray
     first: np.ndarray
     node: np.ndarray
     id: np.ndarray
     to: np.ndarray
-    logp: np.ndarray
-    rest: np.ndarray
+    weight: np.ndarray
+    beta: np.ndarray
+    p: np.ndarray
     run: np.ndarray
 
+    def log_prob(self, edge: np.ndarray) -> np.ndarray:
+        return self.weight[edge] + self.beta[self.to[edge]] - self.beta[self.node[edge]]
 
-def grouped_log_sum(values: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exponentials of each group, which begins at starts; group is each value's."""
-    top = np.maximum(np.maximum.reduceat(values, starts), -1e300)
-    with np.errstate(divide="ignore"):
-        return top + np.log(np.add.reduceat(np.exp(values - top[group]), starts))
+    def others(self, node: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes x slots) log probabilities of the nodes' edges, -inf for those in the bit sets taken; and the log of
+        their sums, exact however small it is."""
+        begin, degree = self.first[node], self.first[node + 1] - self.first[node]
+        slots = np.arange(degree.max(initial=1))
+        shut = (taken[:, None] >> slots & 1 > 0) | (slots >= degree[:, None])
+        logs = np.where(shut, -np.inf, self.log_prob(np.minimum(begin[:, None] + slots, len(self.p) - 1)))
+        top = np.maximum(logs.max(axis=1), -1e300)
+        with np.errstate(divide="ignore"):
+            return logs, top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
 
 
 def lattice(texts: list[str], v: Vocabulary) -> Lattice:
-    """Texts are cut into words before each run of spaces, which no piece crosses, so that words are independent."""
+    """Texts are cut into words wherever no piece can hold both characters, so that words are independent."""
     marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
     codes = codes_of("".join(marked))
     sizes = np.array([len(m) for m in marked], np.int64)
     begins = np.cumsum(sizes) - sizes
-    space = codes == ord(SPACE)
-    head = space.copy()
-    head[1:] &= ~space[:-1]
+    head = np.ones(len(codes), bool)
+    head[1:] = ~v.pairs[pair_keys(codes)]
     head[begins[sizes > 0]] = True
     start = np.flatnonzero(head)
     length = np.diff(np.append(start, len(codes)))
@@ -164,15 +208,22 @@ def lattice(texts: list[str], v: Vocabulary) -> Lattice:
     left = np.repeat(np.arange(most + 1), wide)
     owner = np.arange(nodes) - row[left]
     where = end[owner] - left
+    _, down = powers(len(sums))
+    here, scale = sums[where], down[where]
     found, degree = [], np.zeros(nodes, np.int64)
-    for n in range(min(v.longest, most), 0, -1):
-        piece = v.find(keys_at(sums, where[row[n] :], n))
+    active = np.arange(row[1] if most else 0, nodes)
+    for n in range(1, min(v.longest, most) + 1):
+        # active: nodes with n characters left whose first n - 1 begin some piece.
+        with np.errstate(over="ignore"):
+            keys = (sums[where[active] + n] - here[active]) * scale[active] * SPREAD + np.uint64(n)
+        piece = v.find(keys)
         if n == 1:
-            piece[(piece < 0) & (degree[row[1] :] == 0)] = -2
+            piece[piece < 0] = -2
         hit = np.flatnonzero(piece != -1)
-        node, piece = row[n] + hit, piece[hit]
-        found.append((n, node, piece, degree[node]))
+        node = active[hit]
+        found.append((n, node, piece[hit], degree[node]))
         degree[node] += 1
+        active = active[v.begun[keys >> np.uint64(44)] & (left[active] > n)]
     first = np.concatenate([[0], np.cumsum(degree)])
     ids, to, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.int64), np.empty(first[-1])
     for n, node, piece, rank in found:
@@ -180,25 +231,21 @@ def lattice(texts: list[str], v: Vocabulary) -> Lattice:
         ids[edge] = np.where(piece >= 0, v.ids[piece], -2 - codes[where[node]].astype(np.int64))
         weight[edge] = np.where(piece >= 0, v.scores[piece], v.worst)
         to[edge] = row[left[node] - n] + owner[node]
-    beta = np.zeros(nodes)
+    beta, p = np.zeros(nodes), np.empty(len(ids))
     group = np.repeat(np.arange(nodes), degree)
     for r in range(1, most + 1):
         a, b = row[r], row[r + 1]
         edges = slice(first[a], first[b])
-        beta[a:b] = grouped_log_sum(weight[edges] + beta[to[edges]], first[a:b] - first[a], group[edges] - a)
-    logp = weight + beta[to] - beta[group]
-    starts = first[:-1][degree > 0]
-    dense = np.cumsum(degree > 0) - 1
-    p = np.exp(logp)
+        starts, own = first[a:b] - first[a], group[edges] - a
+        values = weight[edges] + beta[to[edges]]
+        top = np.maximum.reduceat(values, starts)
+        values = np.exp(values - top[own])
+        total = np.add.reduceat(values, starts)
+        beta[a:b] = top + np.log(total)
+        p[edges] = values / total[own]
     run = np.cumsum(p)
     run -= np.concatenate([[0.0], run])[first[group]]
-    with np.errstate(divide="ignore"):
-        rest = np.log1p(-np.minimum(p, 1))
-    if len(logp):
-        # Of an edge that has most of its node's probability the rest is summed, which is exact if it is very small.
-        large = p > 0.5
-        rest[large] = grouped_log_sum(np.where(large, -np.inf, logp), starts, dense[group])[dense[group[large]]]
-    return Lattice(text, word, size, row, first, group, ids, to, logp, rest, run)
+    return Lattice(text, word, size, row, left, first, group, ids, to, weight, beta, p, run)
 
 
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
@@ -253,7 +300,6 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
     paths: list[dict[str, np.ndarray]] = []
     value = -np.log(-np.log(uniform(seeds, 1 << 40)))
     live = np.ones(texts, bool)
-    tail = np.arange(64)
     for r in range(k + 1):
         cut_at, banned = np.full(texts, -1), np.zeros(texts, np.int64)
         if not r:
@@ -281,13 +327,10 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
                 at = where[own]
                 p["value"][at] = -np.inf
                 node = p["node"][at]
-                begin, degree = lat.first[node], lat.first[node + 1] - lat.first[node]
-                slots = tail[: degree.max()]
-                taken = p["banned"][at] | 1 << (p["edge"][at] - begin)
-                shut = (taken[:, None] >> slots & 1 > 0) | (slots >= degree[:, None])
-                other = np.where(shut, -np.inf, lat.logp[np.minimum(begin[:, None] + slots, len(lat.logp) - 1)])
-                run = np.cumsum(np.exp(other - other.max(axis=1, keepdims=True)), axis=1)
-                e = begin + (run < uniform(seeds[own], r, 1 << 41)[:, None] * run[:, -1:]).sum(axis=1)
+                taken = p["banned"][at] | 1 << (p["edge"][at] - lat.first[node])
+                other, mass = lat.others(node, taken)
+                run = np.cumsum(np.exp(other - mass[:, None]), axis=1)
+                e = lat.first[node] + (run < uniform(seeds[own], r, 1 << 41)[:, None] * run[:, -1:]).sum(axis=1)
                 limit = np.full(texts, -1, np.int64)
                 limit[own] = at
                 before = np.flatnonzero(np.arange(len(p["text"])) < limit[p["text"]])
@@ -309,23 +352,19 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
         owner = text[inst]
         size = np.bincount(owner, minlength=texts)
         first = np.cumsum(size) - size
-        run = np.concatenate([[0.0], np.cumsum(lat.logp[edge])])
+        run = np.concatenate([[0.0], np.cumsum(lat.log_prob(edge))])
         before = run[:-1] - run[first][owner]
         total = run[first + size] - run[first]
         index = np.arange(len(owner)) - first[owner]
         node = lat.node[edge]
-        mass = before + lat.rest[edge]
         out = np.zeros(len(owner), np.int64)
         at = np.flatnonzero(index == cut_at[owner])
-        if len(at):
-            begin, degree = lat.first[node[at]], lat.first[node[at] + 1] - lat.first[node[at]]
-            slots = tail[: degree.max()]
-            out[at] = banned[owner[at]]
-            shut = ((out[at] | 1 << (edge[at] - begin))[:, None] >> slots & 1 > 0) | (slots >= degree[:, None])
-            other = np.where(shut, -np.inf, lat.logp[np.minimum(begin[:, None] + slots, len(lat.logp) - 1)])
-            top = np.maximum(other.max(axis=1), -1e300)
-            with np.errstate(divide="ignore"):
-                mass[at] = before[at] + top + np.log(np.exp(other - top[:, None]).sum(axis=1))
+        out[at] = banned[owner[at]]
+        with np.errstate(divide="ignore"):
+            mass = before + np.log1p(-np.minimum(lat.p[edge], 1))
+        # Where little is left, or more is taken, the rest is summed.
+        near = np.flatnonzero((lat.p[edge] > 1 - 1e-6) | (out > 0))
+        mass[near] = before[near] + lat.others(node[near], out[near] | 1 << (edge[near] - lat.first[node[near]]))[1]
         values = truncated(mass, value[owner], uniform(seeds[owner], r, (1 << 42) + index))
         values[index < cut_at[owner]] = -np.inf
         paths.append({"text": owner, "inst": inst, "node": node, "edge": edge, "value": values, "banned": out})
@@ -346,20 +385,22 @@ def pieces_of(lat: Lattice, edge: np.ndarray, v: Vocabulary) -> tuple[np.ndarray
     return out, count
 
 
-def encode_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES) -> list[tuple[int, int, list[int] | np.ndarray, float, float]]:
-    """(text, sample, ids, log probability, inclusion) of k distinct segmentations of each text, fewer if it has fewer."""
+def encode_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES) -> list[tuple[int, int, np.ndarray, float, float, bool]]:
+    """(text, sample, ids, log probability, inclusion, whether decoding gives the text) of k distinct segmentations of
+    each text, fewer if it has fewer."""
     lat = lattice(texts, v)
     n = len(texts)
     drawn = list(sample(lat, mix(keys.astype(np.uint64) + np.uint64(11)), n, k))
     bound = drawn.pop()
-    out = []
+    out, raw = [], [t.encode() for t in texts]
     for r, (owner, edge, logp, value) in enumerate(drawn):
         ids, count = pieces_of(lat, edge, v)
         ends = np.cumsum(np.bincount(owner, weights=count, minlength=n).astype(np.int64))
         with np.errstate(over="ignore", invalid="ignore"):
             chance = -np.expm1(-np.exp(np.minimum(logp - bound, 700)))
+        back = v.decode_all(ids, ends)
         for i in np.flatnonzero(np.isfinite(value) if r else np.ones(n, bool)):
-            out.append((int(i), r, ids[ends[i - 1] if i else 0 : ends[i]], float(logp[i]), float(chance[i])))
+            out.append((int(i), r, ids[ends[i - 1] if i else 0 : ends[i]], float(logp[i]), float(chance[i]), back[i] == raw[i]))
     return sorted(out, key=lambda x: x[:2])
 
 
@@ -388,8 +429,7 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
             rows = [(doc[i], 0, None, None, None, None) for i, t in enumerate(text) if t is None]
             if some:
                 keys = np.array([doc[i] or 0 for i in some], np.int64)
-                for i, r, ids, p, q in encode_texts([text[i] for i in some], keys, v, samples):
-                    rows.append((doc[some[i]], r, ids, p, q, v.decode(ids.tolist()) == text[some[i]]))
+                rows += [(doc[some[i]], *x) for i, *x in encode_texts([text[i] for i in some], keys, v, samples)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("exact", pa.bool_())])
