@@ -285,7 +285,7 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
             turn = np.uint64(0xA24BAED4963EE407 * r & (1 << 64) - 1)
             key = mix(seeds[text[inst]] + turn) + ordinal[inst].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         while len(inst):
-            u = uniform(key, node - word[inst])
+            u = uniform(key, lat.left[node])
             edge, stop = lat.first[node], lat.first[node + 1] - 1
             more = np.flatnonzero((lat.run[edge] < u) & (edge < stop))
             while len(more):

@@ -1,0 +1,50 @@
+import numpy as np
+import pytest
+
+from lamina.llm import neighbours as nb
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, None if v is None else [None if e is None else float(e) for e in v], "clash", 0) for i, v in x], "vec_id long, embedding array<float>, rid string, list int")
+
+
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_recall(spark, kind):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 32)).astype(np.float32)
+    if kind == "clusters":
+        x = (r.normal(size=(20, 32)) * 4)[r.integers(0, 20, 3000)].astype(np.float32) + x
+    got = nb.knn(frame(spark, list(enumerate(x)))).toPandas()
+    dist = np.sqrt(np.maximum(nb.squared(x.astype(float), x.astype(float)), 0))
+    np.fill_diagonal(dist, np.inf)
+    best = np.argsort(dist, axis=1)[:, : nb.K]
+    found = got.groupby("vec_id")["neighbour_id"].agg(set)
+    assert np.mean([len(found[i] & set(best[i])) / nb.K for i in range(3000)]) > 0.93
+    assert (got.groupby("vec_id").size() == nb.K).all() and (got.vec_id != got.neighbour_id).all()
+    assert np.allclose(got["distance"], dist[got.vec_id, got.neighbour_id], atol=1e-4)
+    assert (got.sort_values(["vec_id", "rank"]).groupby("vec_id")["distance"].diff().dropna() >= 0).all()
+
+
+def test_scan_without_tests_is_exact():
+    r = np.random.default_rng(1)
+    q, x = r.normal(size=(40, 48)).astype(np.float32), r.normal(size=(300, 48)).astype(np.float32)
+    dist = ((q[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    bound = np.sort(dist, axis=1)[:, 9]
+    i, j, d = nb.scan(q, bound, x, epsilon=1e9)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(dist <= bound[:, None]))) and np.allclose(d, dist[i, j])
+    i, j, _ = nb.scan(q, bound, x)
+    assert len(i) >= 0.95 * 400 and set(zip(i, j)) <= set(zip(*np.nonzero(dist <= bound[:, None])))
+
+
+def test_rotation_keeps_distances():
+    r = nb.rotation(24)
+    assert np.allclose(r @ r.T, np.eye(24), atol=1e-5)
+
+
+def test_edges(spark):
+    x = [(1, [0, 0, 1]), (2, [0, 0, 1]), (2, [0, 0, 1]), (None, [0, 1, 0]), (3, None), (4, []), (5, [1, 2]), (6, [0, None, 1]), (7, [float("nan"), 0, 0]), (8, [1, 0, 0]), (9, [float("inf"), 0, 0])]
+    got = [tuple(r) for r in nb.knn(frame(spark, x)).collect()]
+    assert {g[0] for g in got} == {1, 2, None, 8} and len(got) == 5 * 4
+    assert sorted(g[:3] for g in got if g[0] == 1 and g[3] == 0) == [(1, 2, 1), (1, 2, 2)]
+    assert nb.knn(frame(spark, [])).count() == 0
+    assert nb.knn(frame(spark, [(1, [1, 2])])).count() == 0 and nb.knn(frame(spark, [(1, None)])).count() == 0

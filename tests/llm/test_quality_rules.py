@@ -1,0 +1,110 @@
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lamina.llm import quality_rules as q
+
+from . import edges
+
+
+@pytest.mark.parametrize("k,n,p", [(0, 10, 0.1), (3, 40, 0.2), (10, 10, 0.5), (7, 900, 0.02)])
+def test_binomial_tail_is_exact(k, n, p):
+    f = Fraction(p)
+    assert q.binomial_tail(k, n, p) == pytest.approx(float(sum(math.comb(n, i) * f**i * (1 - f) ** (n - i) for i in range(k + 1))), rel=1e-9)
+
+
+def test_cutoffs():
+    assert q.cutoffs_at({0: 90, 5: 9, 7: 1}, (0.0, 0.01, 0.1, 1.0)) == [7, 5, 0, 0]
+    assert q.cutoffs_at({}, (0.0,)) == [q.BINS]
+
+
+def test_certified():
+    assert q.certified([(0, 5), (1, 50), (300, 60)], 1000, 2) == 1
+    assert q.certified([(0, 50), (1, 50)], 1000, 2) == 0
+    assert q.certified([(0, 5)], 20, 1) == -1
+    assert q.certified([(40, 5), (0, 9)], 1000, 1) == -1
+
+
+def test_false_rejection_is_limited():
+    """Where every good document has a rejection rate of just over the risk, certification is as rare as promised."""
+    r = np.random.default_rng(0)
+    wrong = sum(q.certified([(int(r.binomial(400, q.RISK + 1e-6)), 1)], 400, 1) >= 0 for _ in range(2000))
+    assert wrong / 2000 <= q.ERROR + 0.01
+
+
+def brute(text):
+    solid = [c for c in text.encode() if chr(c) not in " \t\n\r\f\v"]
+    letters = [c for c in text.encode() if chr(c).isascii() and chr(c).isalpha()]
+    words = text.encode().split()
+    share = lambda part, whole: part * q.BINS // max(whole, 1)
+    return {
+        "symbol": share(sum(chr(c) in "#$%&*|!<>{}[]=~^\\_@+`" for c in solid), len(solid)),
+        "upper": share(sum(chr(c).isupper() for c in letters), len(letters)),
+        "digit": share(sum(chr(c) in "0123456789" for c in solid), len(solid)),
+        "repeat": share(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+    }
+
+
+def test_shares():
+    texts = ["", "a", "A a a B!! 12 12", " x\n\nx x", "ÄÖ é é 多 多", edges.LONG, "&&& &&&", None]
+    got = q.shares(pa.array(texts).slice(0))
+    for i, t in enumerate(texts):
+        assert {n: int(got[n][i]) for n in q.RULES} == brute(t or ""), t
+    part = q.shares(pa.array(texts).slice(2, 2))
+    assert {n: int(part[n][0]) for n in q.RULES} == brute(texts[2])
+
+
+def corpus(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(6, 9)))
+    docs, marks = [], []
+    for i in range(2400):
+        bad = i % 4 == 0
+        text = " ".join(word() + ("$$$" if bad else "") for _ in range(30))
+        docs.append((i, text, "en" if i < 2200 else "xx", "s", len(text)))
+        marks.append((i, 0 if bad else 1, 0))
+    return edges.documents(spark, docs), edges.labels(spark, marks)
+
+
+def test_judge_and_keep(spark):
+    docs, labels = corpus(spark)
+    got = {r.doc_id: r for r in q.judge(docs, labels).collect()}
+    assert len(got) == 2400
+    for i, r in got.items():
+        assert r.keep == (i % 4 != 0 or i >= 2200), "a language with too few labels keeps all"
+    kept = q.keep(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep}
+
+
+def test_choose_counts_like_brute_force(spark):
+    docs, labels = corpus(spark)
+    features = q.measured(docs).toPandas()
+    marks = labels.select("doc_id", "quality").toPandas().set_index("doc_id")["quality"]
+    half = {r.doc_id: r.half for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id, 9), 2) as half").collect()}
+    features["good"], features["half"] = features.doc_id.map(marks) >= 1, features.doc_id.map(half)
+    want, strata = {}, sorted(features.stratum.unique())
+    for s in strata:
+        f = features[features.stratum == s]
+        fit, held = f[(f.half == 0) & f.good], f[f.half == 1]
+        ladder = {n: [next(c for c in sorted({*fit[n]}) if (fit[n] > c).sum() <= t * len(fit)) for t in q.TAILS] for n in q.RULES}
+        tested = [tuple(int(sum((held[n] > ladder[n][i]) for n in q.RULES).gt(0)[held.good == g].sum()) for g in (True, False)) for i in range(len(q.TAILS))]
+        # Levels reject more and more: a row counts at its mildest level and all beyond.
+        tested = [tuple(max(t[k] for t in tested[: i + 1]) for k in range(2)) for i in range(len(tested))]
+        if (at := q.certified(tested, int(held.good.sum()), len(strata))) >= 0:
+            want[s] = {n: ladder[n][at] for n in q.RULES}
+    assert q.choose(q.measured(docs), labels) == want and list(want) == ["en"]
+
+
+def test_edges(spark):
+    docs = edges.documents(spark)
+    got = q.judge(docs, edges.labels(spark))
+    assert got.count() == docs.count()
+    assert {(r.doc_id, r.keep) for r in got.collect()} == {(1, True), (2, False), (3, False), (4, False), (None, True), (None, False), (5, True), (6, True), (7, True), (8, True)}
+    assert q.keep(docs, edges.labels(spark, [])).count() == 7
+    assert q.judge(edges.documents(spark, []), edges.labels(spark)).count() == 0
+    assert q.keep(edges.documents(spark, []), edges.labels(spark, [])).count() == 0

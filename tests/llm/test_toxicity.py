@@ -1,0 +1,68 @@
+import itertools
+
+import pytest
+
+from lamina.llm import toxicity as t
+
+from . import edges
+
+PLAIN = t.Lexicon()
+
+
+@pytest.mark.parametrize("text,low,high", [
+    ("You are an idiot.", 1.0, 9), ("Such a moron wrote it", 1.0, 9), ("I will kill you", 1.0, 9), ("you I will kill", 1.0, 9),
+    ("They kill time", 0.9, 9), ("to kill a process", 0.05, 0.5), ("She is not an idiot.", 0.01, 0.5), ("Never call them stupid", 0.01, 0.5),
+    ('He said "you idiot" and left', 0.01, 0.5), ('He said "hello" to that idiot', 1.0, 9), ("A fine day. The weather is nice", 0, 0), ("", 0, 0), (None, 0, 0),
+    ("IDIOT", 1.0, 9), ("idiotically", 0, 0),
+])
+def test_clauses(text, low, high):
+    assert low <= t.score_text(text, PLAIN)[0] <= high
+
+
+def test_composition_is_one_after_the_other():
+    for n in range(5):
+        for symbols in itertools.product(t.ALPHABET, repeat=n):
+            states, total = [0, 0, 0], 0.0
+            for s in symbols:
+                for k, part in enumerate((t.negation(), t.reported(), t.target())):
+                    states[k], s, w = part.step(states[k], s)
+                    total += w
+            assert t.GRAMMAR.score(symbols) == pytest.approx(total)
+
+
+def corpus(spark, n=400):
+    docs, marks = [], []
+    for i in range(n):
+        bad = i % 5 == 0
+        text = f"der text nummer{i % 97} hat worte{i % 31} genug" + (f". ein zorfel{'abcdefg'[i % 7]} ist da" if bad else "")
+        docs.append((i, text, "de", "s", len(text)))
+        marks.append((i, 1, int(bad)))
+    return edges.documents(spark, docs), edges.labels(spark, marks)
+
+
+def test_stems_are_learned(spark):
+    docs, labels = corpus(spark)
+    lexicon = t.learn(docs, labels)
+    assert any("zorfelx".startswith(s) for s in lexicon.stems)
+    got = t.classify(docs, labels).collect()
+    assert all(r.toxic == (r.doc_id % 5 == 0) for r in got)
+    kept = t.keep(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 5}
+
+
+def test_prefilter_changes_nothing(spark):
+    docs, labels = corpus(spark, 100)
+    lexicon = t.learn(docs, labels)
+    more = docs.union(edges.documents(spark, [(900, "Not a Zorfel. IDIOT!", "de", "s", 1), (901, "the worthlessness", "en", "s", 1)]))
+    got = sorted((r.doc_id, r.score, r.clauses, r.pattern) for r in t.classify(more, labels).collect())
+    assert got == sorted((r.doc_id, *t.score_text(r.text, lexicon)) for r in more.collect())
+
+
+def test_edges(spark):
+    docs = edges.documents(spark)
+    got = t.classify(docs, edges.labels(spark))
+    assert got.count() == docs.count() and not got.where("toxic or score > 0").count()
+    assert t.keep(docs, edges.labels(spark, [])).count() == docs.count()
+    assert t.classify(edges.documents(spark, []), edges.labels(spark)).count() == 0
+    long = edges.documents(spark, [(1, edges.LONG + " you moron", "en", "s", 1)])
+    assert t.classify(long, edges.labels(spark)).first().toxic

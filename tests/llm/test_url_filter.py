@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+import pytest
+
+from lamina.llm import url_filter as u
+
+
+def urls(n=1500, seed=0):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        word = "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 9)))
+        bad = r.random() < 0.2
+        host = f"{r.choice(['spam', 'adult'])}-{word}.example.{r.choice(['com', 'net'])}" if bad else f"{word}.example.{r.choice(['com', 'org'])}"
+        out.append((i, f"https://{host}/{word}/{r.randint(1, 999)}?a=1&b=2", "clash"))
+    return out
+
+
+def test_lexical():
+    f = dict(zip(u.LEXICAL, u.lexical("https://a-b.c.example.com/x/y.html?p=1&q=2#z", "a-b.c.example.com")))
+    assert f["length"] == 44 and f["host_parts"] == 4 and f["host_hyphens"] == 1 and f["depth"] == 2 and f["parameters"] == 2 and f["fragment"] and f["secure"] and f["extension"]
+    assert f["digits"] == pytest.approx(2 / 44)
+    assert u.entropy(np.array([1, 1, 2, 2])) == 1.0
+    assert len(u.lexical("https://" + "x" * 100_000, "x" * 100_000)) == len(u.LEXICAL) == len(u.lexical(None, ""))
+
+
+def test_trees_fit_what_trees_can():
+    r = np.random.default_rng(0)
+    x = r.random((3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    trees = u.boost(x[:2000], y[:2000])
+    assert ((trees.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
+
+
+def test_first_split_is_that_of_brute_force():
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 5, (60, 3)).astype(float), r.integers(0, 2, 60).astype(float)
+    trees = u.boost(x, y)
+    w = np.where(y == 1, 60 / (2 * y.sum()), 60 / (2 * (60 - y.sum())))
+    g, h = w * (0.5 - y), w * 0.25
+    gains = {(j, c): sum(g[m].sum() ** 2 / (h[m].sum() + u.RIDGE) for m in (x[:, j] <= c, x[:, j] > c)) for j in range(3) for c in range(4)}
+    assert (trees.feature[0][0], trees.cut[0][0]) == max(gains, key=gains.get)
+
+
+def test_held_out_accuracy(spark):
+    pages = spark.createDataFrame(urls(), "page_id long, url string, bad string")
+    labels = u.seed_labels(pages)
+    got = {r.page_id: r for r in u.judge(pages, labels.where("hash(url) % 2 = 0")).collect()}
+    assert len(got) == 1500
+    right = [got[i].keep == ("-" not in url) for i, url, _ in urls()]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_edges(spark):
+    odd = [(1, None), (2, ""), (None, "http://a.example.com/1"), (3, "no url"), (3, "no url"), (4, "http://spam-x.example.com/" + "y" * 100_000), (5, "HTTP://User@Adult-1.Example.com:80/"), (6, "http://spammer.example.com")]
+    pages = spark.createDataFrame([(*x, "clash", "clash") for x in odd], "page_id long, url string, host string, suffix string")
+    assert u.judge_table(pages).count() == len(odd)
+    assert {r.url[:24]: r.label for r in u.seed_labels(pages).collect()} == {"http://a.example.com/1": 0, "no url": 0, "http://spam-x.example.co": 1, "HTTP://User@Adult-1.Exam": 1, "http://spammer.example.c": 0}
+    assert u.judge_table(pages.limit(0)).count() == 0
+    none = u.judge(pages, u.seed_labels(pages).limit(0))
+    assert {r.bad for r in none.collect()} == {0.5}
