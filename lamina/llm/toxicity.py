@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,7 @@ class Transducer:
         return total
 
 
-def negation(reach: int = 2) -> Transducer:
+def negation(reach: int = 3) -> Transducer:
     """Writes i for an insult I, t for a threat T, within `reach` tokens after a negation N."""
     arcs: dict[int, dict[str, tuple[int, str, float]]] = {0: {"N": (reach, "N", 0.0)}}
     for left in range(1, reach + 1):
@@ -144,6 +145,10 @@ def score_text(text: str | None, lexicon: Lexicon, known: dict[str, str] | None
     return round(total, 4), matched, best[:64]
 
 
+def stem(n: int, word: Column) -> Column:
+    return F.when(F.length(word) > n, F.substring(word, 1, n))
+
+
 def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     """Words and stems that mark toxic documents, from at most `bound` labelled documents.
 
@@ -157,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     entries = known.select(
         F.xxhash64("text").alias("key"), "label", F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")).alias("words")
     )
-    stems = [F.transform("words", lambda w, n=n: F.when(F.length(w) > n, F.substring(w, 1, n))) for n in STEMS]
+    stems = [F.transform("words", partial(stem, n)) for n in STEMS]
     entries = entries.select("key", "label", F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(w, F.lit("$"))), *stems)).alias("entries"))
     entries = entries.groupBy("key").agg(F.max("label").alias("label"), F.first("entries").alias("entries"))
     toxic = F.sum((F.col("label") >= 1).cast("int"))
