@@ -145,6 +145,26 @@ def score_text(text: str | None, lexicon: Lexicon, known: dict[str, str] | None
     return round(total, 4), matched, best[:64]
 
 
+def begin_alike(a: str, b: str) -> bool:
+    a, b = a.rstrip("$"), b.rstrip("$")
+    return a.startswith(b) or b.startswith(a)
+
+
+def cover(holding: dict[str, set[int]], least: float) -> list[str]:
+    """Entries, each of which is in `least` documents or more that none before it is in; the most first, of equals the
+    longest, then the first in the alphabet."""
+    left, taken = {e: set(d) for e, d in holding.items()}, []
+    while left:
+        best = min(left, key=lambda e: (-len(left[e]), -len(e), e))
+        new = left.pop(best)
+        if len(new) < least:
+            break
+        taken.append(best)
+        for docs in left.values():
+            docs -= new
+    return taken
+
+
 def stem(n: int, word: Column) -> Column:
     return F.when(F.length(word) > n, F.substring(word, 1, n))
 
@@ -153,8 +173,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     """Words and stems that mark toxic documents, from at most `bound` labelled documents.
 
     Each document counts once for each of its words and of their stems of 4 to 7 letters. An entry is taken if at
-    least 99 % of its documents, each text once, are toxic and they are 1 % of all toxic ones, and 5, at least. Of
-    entries that begin with one another the commonest stays, of equals the longest.
+    least 99 % of its documents, each text once, are toxic and they are 1 % of all toxic ones, and 5, at least. Of these
+    cover() takes those that explain the toxic documents, not the words that copies of one of them share besides; and
+    all that are in 5 % of the toxic ones are taken, of those that begin with one another the commonest.
     """
     marks = label_sample(labels, "toxic", bound)
     text = F.lower("text")
@@ -169,12 +190,15 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     by = entries.select("label", F.explode("entries").alias("entry")).where(F.length("entry") > 3).groupBy("entry").agg(toxic.alias("bad"), F.count("*").alias("docs"))
     total = entries.agg(toxic).first()[0] or 0
     least = max(5, 0.01 * total)
-    found = by.where((F.col("bad") >= least) & (F.col("bad") >= 0.99 * F.col("docs"))).collect()
-    taken: list[str] = []
-    for r in sorted(found, key=lambda r: (-r.bad, -len(r.entry), r.entry)):
-        word = r.entry.rstrip("$")
-        if not any(word.startswith(t.rstrip("$")) or t.startswith(word) for t in taken):
-            taken.append(r.entry)
+    found = by.where((F.col("bad") >= least) & (F.col("bad") >= 0.99 * F.col("docs"))).select("entry")
+    where = entries.where("label >= 1").select("key", F.explode("entries").alias("entry")).join(found, "entry")
+    holding: dict[str, set[int]] = {}
+    for r in where.collect():
+        holding.setdefault(r.entry, set()).add(r.key)
+    taken = cover(holding, least)
+    for e in sorted(holding, key=lambda e: (-len(holding[e]), -len(e), e)):
+        if len(holding[e]) >= 0.05 * total and not any(begin_alike(e, t) for t in taken):
+            taken.append(e)
     return Lexicon(frozenset(t[:-1] for t in taken if t.endswith("$")), frozenset(t for t in taken if not t.endswith("$")))
 
 

@@ -50,6 +50,11 @@ def test_stems_are_learned(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 5}
 
 
+def test_cover():
+    holding = {"abcd": {1, 2, 3, 4, 5, 6}, "abcde$": {1, 2, 3, 4, 5, 6}, "copy$": {1, 2, 3, 4, 5}, "other": {6, 7, 8, 9, 10, 11}, "rare$": {12}}
+    assert t.cover(holding, 3) == ["abcde$", "other"] and t.cover({}, 3) == []
+
+
 def test_prefilter_changes_nothing(spark):
     docs, labels = corpus(spark, 100)
     lexicon = t.learn(docs, labels)
