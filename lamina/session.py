@@ -37,9 +37,11 @@ class Engine:
             self._tables[name] = PartTable(self.spark, self.catalog, name)
         return self._tables[name]
 
-    def insert(self, name: str, rows: DataFrame | Iterable[tuple]) -> Part | None:
+    def insert(self, name: str, rows: DataFrame | Iterable[tuple], options: dict | None = None) -> Part | None:
+        """Publishes rows as a part. options go to the Parquet writer: compression (lz4_raw, zstd, none and so on),
+        parquet.writer.version (v2 has delta encoding), parquet.page.row.count.limit."""
         table = self.table(name)
-        return table.insert(rows) if isinstance(rows, DataFrame) else table.insert_rows(rows)
+        return table.insert(rows, options=options) if isinstance(rows, DataFrame) else table.insert_rows(rows, options)
 
     def compact(self, name: str, at_least: int = 2) -> Part | None:
         return self.table(name).compact(at_least)

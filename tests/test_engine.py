@@ -177,6 +177,18 @@ def test_compaction(spark, tmp_path):
     assert [n for n in table.files.names("t") if n.startswith("part")] == ["part_00004"]
 
 
+@pytest.mark.parametrize("compression", ["lz4_raw", "none"])
+def test_writer_options(spark, tmp_path, compression):
+    import pyarrow.parquet as pq
+
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"k": "I64"}))
+    engine.insert("t", spark.range(2000), options={"compression": compression, "parquet.writer.version": "v2"})
+    column = pq.ParquetFile(next((tmp_path / "t" / "part_00001").glob("*.parquet"))).metadata.row_group(0).column(0)
+    assert column.compression == {"lz4_raw": "LZ4", "none": "UNCOMPRESSED"}[compression]
+    assert engine.sql("SELECT COUNT(*) FROM t").first()[0] == 2000
+
+
 def test_replaced_parts_are_invisible_before_they_are_deleted(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     table = engine.create_table(TableSchema.of("t", {"k": "I64"}))
