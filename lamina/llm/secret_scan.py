@@ -43,7 +43,7 @@ PATTERNS = [
 ]
 #: Texts with neither hold no part.
 HAS = re.compile(r"[0-9=:@]")
-NEEDLES = ("-----BEGIN", "AKIA", "ASIA", "gh", "xox", "AIza", "eyJ", "k_live_", "k_test_")
+NEEDLES = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ", "k_live_", "k_test_")
 
 
 def entropy(s: str) -> float:
