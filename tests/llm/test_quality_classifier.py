@@ -51,8 +51,10 @@ def test_network_learns_and_temperature_calibrates():
     y = (r.random(3000) < p).astype(float)
     raw = c.train(x[:1500], y[:1500])
     net = c.calibrated(raw, x[1500:2200], y[1500:2200])
-    loss = lambda n: -np.mean(np.where(y[2200:] == 1, np.log(n.probability(x[2200:])), np.log(1 - n.probability(x[2200:]))))
-    assert loss(net) <= loss(raw) + 0.01 and net.temperature > 1
+    loss = lambda n: np.mean(np.logaddexp(0, z := n.logits(x[1500:2200]) / n.temperature) - y[1500:2200] * z)
+    assert loss(net) <= loss(raw)
+    sharp = c.Network(raw.shift, raw.scale, raw.w1, raw.b1, 3 * raw.w2, 3 * raw.b2)
+    assert c.calibrated(sharp, x[1500:2200], y[1500:2200]).temperature == pytest.approx(3 * net.temperature, rel=1e-3)
     assert np.mean((net.probability(x[2200:]) > 0.5) == (p[2200:] > 0.5)) > 0.8
     held, t = net.logits(x[1500:2200]), np.geomspace(0.05, 20, 400)
     losses = [np.mean(np.logaddexp(0, held / s) - y[1500:2200] * held / s) for s in t]
