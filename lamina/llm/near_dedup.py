@@ -18,10 +18,11 @@ WORDS = BITS // 64
 BUCKETS = 1 << 18
 CHUNK = 4096
 LEAF = 512
-#: Pairs up to REACH of the bits apart are found with probability RECALL or more; pairs up to LIMIT apart are copies.
-REACH = 0.2
+#: Pairs up to LIMIT of the bits apart are copies, and are found with probability RECALL or more.
 RECALL = 0.95
 LIMIT = 0.27
+#: Prefix bits that a region can climb: those below a branch, which is one task's.
+CLIMB = 8
 SEED = 4
 
 CLASSES = byte_classes()
@@ -105,22 +106,18 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return cut(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def recall(depth: int, tries: int, reach: float = REACH) -> float:
+def recall(depth: int, tries: int, reach: float = LIMIT) -> float:
     return 1 - (1 - (1 - reach) ** depth) ** tries
 
 
 def shape(n: int, leaf: int = LEAF, target: float = RECALL) -> tuple[int, int]:
-    """(prefix depth, number of tries) for n fingerprints.
+    """(deepest prefix, number of tries) for n fingerprints.
 
-    From one bit below the depth at which evenly spread fingerprints fill leaves of `leaf`, so that the tries are no
-    more than that needs, prefixes are shortened until the tries reach the target recall.
+    The depth is that at which evenly spread fingerprints fill leaves of `leaf`; the tries are so many that a pair
+    LIMIT apart shares a prefix of that depth in one of them with probability `target`.
     """
-    dense = max(1, math.ceil(math.log2(max(2, n) / leaf)))
-    tries = max(2, math.ceil(math.log(1 - target) / math.log(1 - (1 - REACH) ** dense)))
-    depth = dense + 1
-    while depth > 1 and recall(depth, tries) < target:
-        depth -= 1
-    return depth, tries
+    depth = max(1, math.ceil(math.log2(max(2, n) / leaf)))
+    return depth, max(2, math.ceil(math.log(1 - target) / math.log(1 - (1 - LIMIT) ** depth)))
 
 
 def permutation(trie: int) -> np.ndarray:
@@ -175,9 +172,27 @@ def links(fps: np.ndarray, prefix: np.ndarray, limit: int) -> list[tuple[int, in
     return out
 
 
-def close_pairs(nodes: DataFrame, depth: int, tries: int) -> DataFrame:
-    """(a, b): pairs of nodes(fp) that connect all that share a prefix of `depth` bits in some trie and are close."""
-    coarse = max(0, depth - 6)
+def regions(prefix: np.ndarray, top: int, depth: int, leaf: int) -> np.ndarray:
+    """The region of each of the sorted 64-bit prefixes, as the place of its first one.
+
+    A region shares a prefix: the shortest from `top` bits on that `leaf` rows or fewer share; `depth` bits where that
+    would be longer, so that crowded regions keep the recall that the tries are sized for.
+    """
+    n = len(prefix)
+    out = np.full(n, -1, np.int64)
+    for k in range(top, depth + 1):
+        part = prefix >> np.uint64(64 - k) if k else np.zeros(n, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(first, n))
+        start, size = np.repeat(first, size), np.repeat(size, size)
+        take = (out < 0) & ((size <= leaf) | (k == depth))
+        out[take] = start[take]
+    return out.astype(np.uint64)
+
+
+def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF) -> DataFrame:
+    """(a, b): pairs of nodes(fp) that connect all that share a region of some trie, `depth` bits or less, and are close."""
+    coarse = max(0, depth - CLIMB)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [permutation(t)[:depth] for t in range(tries)]
@@ -201,7 +216,7 @@ def close_pairs(nodes: DataFrame, depth: int, tries: int) -> DataFrame:
         prefix = np.zeros(len(fps), np.uint64)
         for k in range(8):
             prefix = prefix << np.uint64(8) | turned[:, k].astype(np.uint64)
-        pairs = links(fps.view(np.uint64), prefix >> np.uint64(64 - min(64, depth)), int(LIMIT * BITS))
+        pairs = links(fps.view(np.uint64), regions(prefix, coarse, depth, leaf), int(LIMIT * BITS))
         one, two = ([fps[p[i]].tobytes() for p in pairs] for i in range(2))
         return pa.table({"a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
@@ -235,7 +250,7 @@ def grouped(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     found = fingerprinted(docs)
     nodes = cut(found.where("fp is not null").select("fp").distinct())
     depth, tries = shape(nodes.count(), leaf)
-    roots = components(close_pairs(nodes, depth, tries))
+    roots = components(close_pairs(nodes, depth, tries, leaf))
     return found.join(roots, found.fp == roots.node, "left").select("doc_id", "h", "rid", F.coalesce("root", "fp").alias("root"))
 
 
@@ -250,9 +265,10 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     Documents of equal or close fingerprints, and what these connect, are a group. group_id is the doc_id of its one
     row that stays (keep): the least doc_id, nulls last. Fingerprints are of BITS bits over each text's distinct words,
     weighted by inverse document frequency over all documents; case, punctuation, order and repetition don't count.
-    Candidates share a prefix in one of several tries over permuted bits. Depth and number of tries follow from how
-    many fingerprints there are, so that each pair up to REACH apart is found with probability RECALL or more; equal
-    fingerprints always are. All candidates are verified: copies are LIMIT of the bits apart at most.
+    Candidates share a region of one of several tries over permuted bits: where fingerprints are sparse the prefix is
+    shortened until a leaf is full. Greatest depth and number of tries follow from how many fingerprints there are, so
+    that each pair up to LIMIT apart is found with probability RECALL or more; equal fingerprints always are. All
+    candidates are verified: copies are LIMIT of the bits apart at most.
 
     Null texts are nobody's copies: each is a group of its own that stays. Texts without any word, empty ones too, are
     copies of equal texts only. Of repeated rows one stays. Null ids are kept only in groups without another. Further

@@ -87,6 +87,25 @@ def test_shape_reaches_the_recall():
         assert nd.recall(depth, tries) >= nd.RECALL
 
 
+def test_shape_reaches_the_recall_of_what_counts_as_a_copy():
+    for n in (10_000, 10**6, 10**8):
+        depth, tries = nd.shape(n)
+        assert nd.recall(depth, tries, nd.LIMIT) >= nd.RECALL
+
+
+def test_sparse_regions_climb(spark):
+    """Two fingerprints that part within the depth in every trie, far from 600 others that crowd the other half."""
+    r = np.random.default_rng(3)
+    crowd, pair = r.integers(0, 2, (600, nd.BITS)).astype(np.uint8), np.repeat(r.integers(0, 2, (1, nd.BITS)).astype(np.uint8), 2, axis=0)
+    for t in range(2):
+        top = nd.permutation(t)
+        crowd[:, top[0]], pair[:, top[0]] = 1, 0
+        pair[0, top[3]], pair[1, top[3]] = 0, 1
+    both = [np.packbits(x).tobytes() for x in pair]
+    nodes = spark.createDataFrame([(np.packbits(x).tobytes(),) for x in crowd] + [(x,) for x in both], "fp binary")
+    assert {frozenset(map(bytes, p)) for p in nd.close_pairs(nodes, 4, 2).collect()} == {frozenset(both)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (103, 100)]
     pairs = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain], "a binary, b binary")
