@@ -33,12 +33,12 @@ PATTERNS = [
         ("payment_key", SECRET, True, "k_", r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
         ("map_key", SECRET, True, "AIza", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
         ("web_token", SECRET, True, "eyJ", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-        ("assigned", SECRET, True, "=:", rf"(?i:(?<![a-z]){_NAME})[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?([^\s\"',;&<>]{{8,512}})"),
-        ("long_run", SECRET, False, "", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])"),
-        ("user", IDENTIFIER, False, "=:", r"(?i:(?<![a-z])(?:user(?:name|id)?|login|account|client[_-]?id))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;&<>]{2,128})"),
+        ("assigned", SECRET, True, "=:", rf"(?i:(?<![a-z]){_NAME})[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?([^\s\"',;&<>]{{8,}})"),
+        ("long_run", SECRET, False, "", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"),
+        ("user", IDENTIFIER, False, "=:", r"(?i:(?<![a-z])(?:user(?:name|id)?|login|account|client[_-]?id))[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"',;&<>]{2,})"),
         ("mail", IDENTIFIER, False, "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
         ("address", ENDPOINT, False, ".", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\w.]\d)"),
-        ("url", ENDPOINT, False, "://", r"(?<![A-Za-z0-9])[a-z][a-z0-9+:-]{1,20}://[^\s\"'<>]{3,512}"),
+        ("url", ENDPOINT, False, "://", r"(?<![A-Za-z0-9])[a-z][a-z0-9+:-]{1,20}://[^\s\"'<>]{3,}"),
     )
 ]
 #: Texts with neither hold no part.

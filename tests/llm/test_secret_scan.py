@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -26,6 +27,27 @@ def test_parts_are_where_they_are_said_to_be():
     assert text[start:end] == HEX
 
 
+@pytest.mark.parametrize("n", [600, 5000])
+def test_long_values_are_whole(spark, n):
+    r = random.Random(n)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    name = ".".join(key[i : i + 9] for i in range(0, n, 9)).replace("/", "-")
+    url = "https://x.example.com/?q=" + name
+    texts = [f'private_key = "{key}" end', f"user=admin {key} end", f"user={name} {HEX} end", f"{url} {HEX} end"]
+    wants = [[("assigned", key)], [("user", "admin"), ("long_run", key)], [("user", name), ("long_run", HEX)], [("url", url), ("long_run", HEX)]]
+    for text, want in zip(texts, wants):
+        assert sorted((c[0], text[c[3] : c[4]]) for c in s.candidates_in(text)) == sorted(want)
+    docs = edges.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert [r.text for r in s.redact(docs).orderBy("doc_id").collect()][:2] == ['private_key = "[assigned]" end', "user=[user] [long_run] end"]
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    for text in ("a1" * 500_000, "a1" * 500_000 + "é", "key=" + "x" * 10**6, "http://" * 100_000):
+        began = time.process_time()
+        s.candidates_in(text)
+        assert time.process_time() - began < 20
+
+
 def brute(docs):
     out = set()
     for doc, text in set(docs):
