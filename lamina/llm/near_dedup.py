@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ WORDS = BITS // 64
 BUCKETS = 1 << 18
 CHUNK = 4096
 LEAF = 512
-#: Pairs up to LIMIT of the bits apart are copies, and are found with probability RECALL or more.
+#: Pairs up to LIMIT of the bits apart are candidates, and are found with probability RECALL or more; those whose words
+#: have a weighted Jaccard similarity of ALIKE or more are copies.
 RECALL = 0.95
 LIMIT = 0.27
+ALIKE = 0.7
 #: Prefix bits that a region can climb: those below a branch, which is one task's.
 CLIMB = 8
 SEED = 4
@@ -64,8 +67,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def fingerprints_of(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     """SimHash of each text as BITS / 8 bytes: each bit is the weighted majority of its distinct words' hash bits."""
-    rows, hashes = each_word(texts)
-    out = np.zeros((len(texts), BITS // 8), np.uint8)
+    return majorities(*each_word(texts), len(texts), weights)
+
+
+def majorities(rows: np.ndarray, hashes: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, BITS // 8), np.uint8)
     if not len(rows):
         return out
     w = weights[bucket(hashes)]
@@ -83,15 +89,22 @@ def fingerprints_of(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, rid, fp): a hash of the text, a row number and the fingerprint, null for null texts. Checkpointed."""
+def word_weights(docs: DataFrame) -> Broadcast:
     frequencies, total = document_frequencies(docs)
-    weights = docs.sparkSession.sparkContext.broadcast(np.log1p(total / np.maximum(frequencies, 1)).astype(np.float32))
+    return docs.sparkSession.sparkContext.broadcast(np.log1p(total / np.maximum(frequencies, 1)).astype(np.float32))
+
+
+def fingerprinted(docs: DataFrame, weights: Broadcast) -> DataFrame:
+    """(doc_id, h, rid, fp, ws): a hash of the text, a row number, the fingerprint, null for null texts, and a hash of
+    the set of words. Checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = lowered(batch)
-            fps = fingerprints_of(texts, weights.value)
+            at, hashes = each_word(texts)
+            fps = majorities(at, hashes, len(texts), weights.value)
+            ws = np.zeros(len(texts), np.uint64)
+            np.add.at(ws, at, mix(hashes))
             # Texts without a word are copies only of equal texts.
             h = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             blank = ~fps.any(axis=1)
@@ -99,10 +112,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 own = np.stack([mix(h[blank].astype(np.uint64) + np.uint64(k)) for k in range(WORDS)], axis=1)
             fps[blank] = np.ascontiguousarray(own).view(np.uint8)
             values = [f.tobytes() if there else None for there, f in zip(pc.is_valid(texts).to_pylist(), fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["doc_id", "h", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary()), pa.array(ws.view(np.int64))], ["doc_id", "h", "fp", "ws"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    found = rows.mapInArrow(run, "doc_id long, h long, fp binary")
+    found = rows.mapInArrow(run, "doc_id long, h long, fp binary, ws long")
     return cut(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -245,13 +258,76 @@ def components(pairs: DataFrame) -> DataFrame:
         seen = now
 
 
+def alike(fps: np.ndarray, words: list[np.ndarray], weights: np.ndarray, limit: int) -> np.ndarray:
+    """The least row of each row's group: groups connect rows at most `limit` bits apart whose words are ALIKE."""
+    n, parent = len(fps), list(range(len(fps)))
+    total = [float(weights[bucket(w)].sum(dtype=np.float64)) for w in words]
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for s in range(0, n, 512):
+        for t in range(s, n, 512):
+            a, b = fps[s : s + 512], fps[t : t + 512]
+            if len({root(i) for i in range(s, s + len(a))} | {root(i) for i in range(t, t + len(b))}) == 1:
+                continue
+            apart = np.zeros((len(a), len(b)), np.uint16)
+            for k in range(WORDS):
+                apart += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+            i, j = np.nonzero(apart <= limit)
+            nearest = np.argsort(apart[i, j], kind="stable")
+            for x, y in zip((i[nearest] + s).tolist(), (j[nearest] + t).tolist()):
+                p, q = root(x), root(y)
+                if x >= y or p == q:
+                    continue
+                shared = float(weights[bucket(np.intersect1d(words[x], words[y], assume_unique=True))].sum(dtype=np.float64))
+                if shared >= ALIKE * (total[x] + total[y] - shared):
+                    parent[max(p, q)] = min(p, q)
+    return np.array([root(i) for i in range(n)], np.int64)
+
+
+def divided(docs: DataFrame, linked: DataFrame, weights: Broadcast) -> DataFrame:
+    """(r_fp, r_ws, part): the group by words of each word set in the groups of linked(root, fp, ws, h), where there are
+    several. Each group of linked is one task's, with one copy of each word set."""
+    wanted = linked.groupBy("root", "fp", "ws").agg(F.min("h").alias("h"))
+    several = wanted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = wanted.join(several, "root")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows, hashes = each_word(lowered(batch))
+            ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            words = [hashes[s:e].tobytes() for s, e in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary())], ["root", "fp", "ws", "words"])
+
+    def split(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("fp", "ascending"), ("ws", "ascending")])
+        fps, ws = rows.column("fp").to_pylist(), rows.column("ws").to_pylist()
+        words = [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
+        least = alike(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS), words, weights.value, int(LIMIT * BITS))
+        part = [fps[i] + ws[i].to_bytes(8, "big", signed=True) for i in least.tolist()]
+        return pa.table({"r_fp": pa.array(fps, pa.binary()), "r_ws": pa.array(ws, pa.int64()), "part": pa.array(part, pa.binary())})
+
+    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text")
+    held = texts.join(wanted, "h").select("root", "fp", "ws", "text").mapInArrow(read, "root binary, fp binary, ws long, words binary")
+    held = held.dropDuplicates(["root", "fp", "ws"])
+    return held.groupBy("root").applyInArrow(split, "r_fp binary, r_ws long, part binary")
+
+
 def grouped(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """fingerprinted(docs) and root: the least fingerprint of the group, null for null texts."""
-    found = fingerprinted(docs)
+    """fingerprinted(docs) and root: the least fingerprint and word set of the group, null for null texts."""
+    weights = word_weights(docs)
+    found = fingerprinted(docs, weights)
     nodes = cut(found.where("fp is not null").select("fp").distinct())
     depth, tries = shape(nodes.count(), leaf)
     roots = components(close_pairs(nodes, depth, tries, leaf))
-    return found.join(roots, found.fp == roots.node, "left").select("doc_id", "h", "rid", F.coalesce("root", "fp").alias("root"))
+    linked = cut(found.where("fp is not null").join(roots, found.fp == roots.node, "left").select("h", "fp", "ws", F.coalesce("root", "fp").alias("root")))
+    parts = divided(docs, linked, weights)
+    same = (found.fp == parts.r_fp) & (found.ws == parts.r_ws)
+    own = F.concat("fp", F.unhex(F.lpad(F.hex("ws"), 16, "0")))
+    return found.join(parts, same, "left").select("doc_id", "h", "rid", F.coalesce("part", own).alias("root"))
 
 
 def order() -> Column:
@@ -262,13 +338,14 @@ def order() -> Column:
 def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Each row of docs(doc_id, text): doc_id, group_id, group_size, keep.
 
-    Documents of equal or close fingerprints, and what these connect, are a group. group_id is the doc_id of its one
+    Documents of equal words, or of close fingerprints and words that are ALIKE, and what these connect, are a group. group_id is the doc_id of its one
     row that stays (keep): the least doc_id, nulls last. Fingerprints are of BITS bits over each text's distinct words,
     weighted by inverse document frequency over all documents; case, punctuation, order and repetition don't count.
     Candidates share a region of one of several tries over permuted bits: where fingerprints are sparse the prefix is
     shortened until a leaf is full. Greatest depth and number of tries follow from how many fingerprints there are, so
     that each pair up to LIMIT apart is found with probability RECALL or more; equal fingerprints always are. All
-    candidates are verified: copies are LIMIT of the bits apart at most.
+    candidates are verified: copies are LIMIT of the bits apart at most, and the weights of the words that they share
+    are ALIKE of those of all their words at least.
 
     Null texts are nobody's copies: each is a group of its own that stays. Texts without any word, empty ones too, are
     copies of equal texts only. Of repeated rows one stays. Null ids are kept only in groups without another. Further

@@ -106,6 +106,17 @@ def test_sparse_regions_climb(spark):
     assert {frozenset(map(bytes, p)) for p in nd.close_pairs(nodes, 4, 2).collect()} == {frozenset(both)}
 
 
+def test_short_documents_that_share_a_line_stay(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    lines = [" ".join(word() for _ in range(12)) for _ in range(20)]
+    texts = [" ".join(word() for _ in range(3)) + "\n" + line for line in lines for _ in range(3)]
+    texts += [" ".join(word() for _ in range(150)) for _ in range(60)]
+    texts += [" ".join(word() if i % 40 == 7 else w for i, w in enumerate(t.split())) for t in texts[60:]]
+    docs = edges.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in nd.keep(docs).collect()} == set(range(120))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (103, 100)]
     pairs = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in chain], "a binary, b binary")
