@@ -70,7 +70,10 @@ def literal_problem(t: DeclaredType, value: object) -> str | None:
     if not t.numeric:
         return f"number literal against {t.name}"
     if t.integral:
-        if Decimal(str(value)) != int(value):
+        exact = Decimal(str(value))
+        if not exact.is_finite() or exact.adjusted() > 40:
+            return f"{str(value)[:40]} is out of the range of {t.name}"
+        if exact and exact.adjusted() < 0 or exact != int(exact):
             return f"fractional literal against {t.name}"
         if not t.low <= int(value) <= t.high:
             return f"{value} is out of the range of {t.name}"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ def narrowed(p: object, schema: TableSchema) -> object:
         if not isinstance(x, Literal) or column is None or column.type.kind != "float":
             return x
         v = float(x.value)
-        return Literal(struct.unpack("f", struct.pack("f", v))[0] if column.data_type == "F32" else v)
+        with np.errstate(over="ignore"):
+            return Literal(float(np.float32(v)) if column.data_type == "F32" else v)
 
     return Compare(one(p.left), p.op, one(p.right))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -22,12 +26,42 @@ class Files:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []
 
+    def size(self, name: str) -> int:
+        """Bytes under name."""
+        return self._fs.getContentSummary(self._path(name)).getLength()
+
+    def age(self, name: str) -> float:
+        """Seconds since name was changed."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def make(self, name: str = "") -> None:
         self._fs.mkdirs(self._path(name))
 
-    def rename(self, old: str, new: str) -> bool:
-        """False if new exists already."""
-        return not self.exists(new) and self._fs.rename(self._path(old), self._path(new))
+    def claim(self, name: str) -> bool:
+        """Creates an empty file; False if it exists. Of writers at the same time, one is told True.
+
+        A local file is opened exclusively, other stores are asked for a file that overwrites none, which HDFS does in
+        one step, as do object stores with conditional writes.
+        """
+        if self._fs.getUri().getScheme() == "file":
+            path = self._fs.makeQualified(self._path(name)).toUri().getPath()
+            try:
+                os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self._fs.create(self._path(name), False).close()
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
+        return True
+
+    def rename(self, old: str, new: str) -> None:
+        """To a name that is the caller's alone."""
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{self.where(old)} couldn't be renamed to {new}")
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -7,7 +7,8 @@ import pytest
 
 from lamina import Engine, TableSchema
 from lamina.plans.dialect import DialectError
-from lamina.sources.parts import MANIFEST
+from lamina.sources import parts as parts_module
+from lamina.sources.parts import MANIFEST, visible
 
 WIDE = TableSchema.of(
     "wide",
@@ -168,13 +169,158 @@ def test_bad_rows_reject_the_insert(spark, tmp_path, row):
 def test_compaction(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     table = engine.create_table(TableSchema.of("t", {"k": "I64", "v": "Str"}, (0,)))
-    assert engine.compact("t") is None
+    assert engine.compact("t") == []
     for k in (3, 1, 2):
         engine.insert("t", [(k, "x"), (k + 10, "y")])
     before = rows(engine, "SELECT k, v FROM t")
     engine.compact("t")
     assert [p.id for p in table.parts()] == [4] and rows(engine, "SELECT k, v FROM t") == before
-    assert [n for n in table.files.names("t") if n.startswith("part")] == ["part_00004"]
+    assert table.vacuum() == [] and table.vacuum(retention=0)[:3] == ["part_00001", "part_00002", "part_00003"]
+    assert [n for n in table.files.names("t") if "_0" in n] == ["merged_00004"]
+    assert rows(Engine(spark, str(tmp_path)), "SELECT k, v FROM t") == before
+
+
+def test_compacted_rows_stay_replaced(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    table = engine.create_table(TableSchema.of("t", {"k": "I64"}, (0,)))
+    for k in (1, 2):
+        engine.insert("t", [(k,)])
+    reader = engine.sql("SELECT k FROM t")
+    engine.compact("t")
+    engine.insert("t", [(3,)])
+    engine.compact("t")
+    assert table.parts()[0].replaces == {1, 2, 3, 4} and rows(engine, "SELECT k FROM t") == [(1,), (2,), (3,)]
+    assert sorted(r.k for r in reader.collect()) == [1, 2], "a reader in flight"
+    table.files.delete("t/part_00001")
+    assert rows(Engine(spark, str(tmp_path)), "SELECT k FROM t") == [(1,), (2,), (3,)]
+
+
+def test_compaction_takes_small_parts_first(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    table = engine.create_table(TableSchema.of("t", {"k": "I64"}, (0,)))
+    engine.insert("t", spark.range(100_000).coalesce(1))
+    for k in range(5):
+        engine.insert("t", [(k,)])
+    big = next(p for p in table.parts() if p.id == 1)
+    small = max(p.bytes for p in table.parts() if p.id > 1)
+    made = engine.compact("t", target=2 * small + 10)
+    assert [sorted(p.replaces) for p in made] == [[2, 3], [4, 5]] and [p.id for p in table.parts()] == [8, 7, 6, 1]
+    assert engine.compact("t", at_least=5, target=big.bytes) == []
+    assert sorted(engine.compact("t", target=2 * big.bytes)[0].replaces) == [2, 3, 4, 5, 6, 7, 8]
+    assert engine.sql("SELECT COUNT(*) FROM t").first()[0] == 100_005
+
+
+def test_compactions_at_the_same_time(spark, tmp_path):
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    table = one.create_table(TableSchema.of("t", {"k": "I64"}))
+    for k in (1, 2, 3):
+        one.insert("t", [(k,)])
+    old = table.parts()
+    late = two.table("t")
+    late._write(late.rows_of(old[:2]), old[:2], {}, None)
+    assert table._write(table.rows_of(old), old, {}, None) is None, "its parts are gone"
+    parts = {p.id: p for p in table._all()}
+    clash = type(old[0])(9, 3, {}, frozenset({1, 2, 3}), {}, 0, True)
+    assert [p.id for p in visible([*parts.values(), clash])] == [1, 4]
+    assert rows(one, "SELECT k FROM t") == [(1,), (2,), (3,)]
+
+
+def test_ids_are_given_to_one_writer(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    one.create_table(TableSchema.of("t", {"k": "I64"}))
+    assert one.table("t").files.claim("t/claim") and not two.table("t").files.claim("t/claim")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: (one if k % 2 else two).table("t").insert(spark.range(k, k + 1)), range(12)))
+    assert len({p.id for p in got}) == 12 and rows(one, "SELECT k FROM t") == [(k,) for k in range(12)]
+
+
+def test_snapshots_copy_manifests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parts_module, "LOOSE", 3)
+    engine = Engine(spark, str(tmp_path), strict=True)
+    table = engine.create_table(TableSchema.of("t", {"k": "I64", "x": "F64"}))
+    for k in range(7):
+        engine.insert("t", [(k, float("nan") if k == 2 else k / 3)])
+    assert max(map(int, table.files.names("t/_snapshots"))) >= 6
+    for i in (2, 3):
+        table.files.write(f"t/part_0000{i}/{MANIFEST}", "{")
+    again = Engine(spark, str(tmp_path), strict=True)
+    assert again.table("t").parts() == table.parts()
+    assert {f.rsplit("/", 2)[1] for f in again.sql("SELECT k FROM t WHERE k = 2").inputFiles()} == {"part_00003"}
+
+
+def test_default_mode_reads_the_parts_that_the_plan_needs(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"k": "I64", "b": "I8", "x": "F32", "u": "U64"}, (0,)))
+    engine.create_table(TableSchema.of("other", {"k": "I64"}))
+    for low in (0, 10, 20, 30):
+        engine.insert("t", spark.range(low, low + 10).selectExpr("id", "id", "id / 4", "id"))
+    engine.insert("other", spark.range(40))
+    for sql, want in [
+        ("SELECT k FROM t WHERE k < 5", 1), ("SELECT k FROM t WHERE (k < 5) ORDER BY k", 1), ("SELECT COUNT(*) FROM t WHERE k BETWEEN 12 AND 25", 2),
+        ("SELECT k + 1 FROM t WHERE k IN (3, 35)", 2), ("SELECT k FROM t WHERE k < 5 AND abs(x) > 0", 1), ("SELECT k FROM t WHERE abs(k) < 5", 4),
+        ("SELECT k FROM t WHERE k < 5 OR abs(x) > 3", 4), ("SELECT k FROM t WHERE b = 31 LIMIT 3", 1), ("SELECT k FROM t WHERE x >= 7.5", 1), ("SELECT k FROM t WHERE u > 29", 1),
+        ("SELECT K FROM T WHERE NOT k >= 10", 1), ("SELECT k FROM (SELECT k, x FROM t) v WHERE k = 11", 1), ("WITH c AS (SELECT * FROM t) SELECT a.k FROM c a JOIN c b USING (k) WHERE k = 11", 1),
+        ("SELECT k FROM t WHERE k = (SELECT MAX(k) FROM t)", 4), ("SELECT k FROM t WHERE k < 10 UNION ALL SELECT k FROM t WHERE k >= 30", 2), ("SELECT k FROM t WHERE k <> 3 AND k < 10", 1),
+        ("SELECT t.k FROM t LEFT JOIN other ON t.k = other.k WHERE t.k > 30", 1),
+    ]:
+        df = engine.sql(sql)
+        assert len({f.rsplit("/", 2)[1] for f in df.inputFiles() if "/t/" in f}) == want, sql
+        everything = engine.table("t").scan()
+        everything.createOrReplaceTempView("t")
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, engine.spark.sql(sql).collect())), sql
+
+
+def test_inserts_in_default_mode(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"k": "I8", "s": "Str"}))
+    engine.execute("INSERT INTO t VALUES (-1, 'a;b'), (1 + 1, concat('x', 'y'));")
+    engine.execute("INSERT INTO t (S, `k`) SELECT s, k * 10 FROM t")
+    engine.execute("insert into t (SELECT CAST(k AS BIGINT), s FROM t WHERE k < -5)")
+    assert rows(engine, "SELECT k, s FROM t") == [(-10, "a;b"), (-10, "a;b"), (-1, "a;b"), (2, "xy"), (20, "xy")]
+    for bad in ("INSERT INTO t SELECT k FROM t", "INSERT INTO t VALUES ('1', 'a')", "INSERT INTO t (k, k) VALUES (1, 2)", "INSERT INTO t VALUES (1000, 'a')", "INSERT INTO t VALUES (NULL, 'a')", "INSERT INTO t VALUES (1.5, 'a')"):
+        with pytest.raises(ValueError):
+            engine.execute(bad)
+    strict = Engine(spark, str(tmp_path), strict=True)
+    for bad in ("INSERT INTO t VALUES (-1, 'a')", "INSERT INTO t SELECT k, s FROM t"):
+        with pytest.raises(DialectError):
+            strict.execute(bad)
+
+
+@pytest.mark.parametrize("sql,kind,keeps", [
+    ("1.0000001D", "I32", None), ("CAST('1.0000001' AS DECIMAL(20,10))", "I32", None), ("'1.0000001'", "I32", None), ("'7'", "I32", 7), ("' -7.0'", "I8", -7), ("2147483648D", "I32", None),
+    ("9223372036854774784D", "I64", 9223372036854774784), ("9223372036854775808D", "I64", None), ("18446744073709549568D", "U64", Decimal(18446744073709549568)), ("18446744073709551616D", "U64", None),
+    ("-1D", "U64", None), ("double('NaN')", "I64", None), ("1e300D", "F32", None), ("double('Infinity')", "F32", math.inf), ("0.1D", "F32", 0.10000000149011612), ("CAST(1e20 AS DECIMAL(38,0))", "I64", None), ("true", "I8", 1),
+])
+def test_values_are_kept_or_rejected(spark, tmp_path, sql, kind, keeps):
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"v": kind}))
+    one = spark.sql(f"SELECT {sql}")
+    if keeps is None:
+        with pytest.raises(ValueError, match="out of its column's range"):
+            engine.insert("t", one)
+    else:
+        engine.insert("t", one)
+        assert rows(engine, "SELECT v FROM t") == [(keeps,)]
+
+
+@pytest.mark.parametrize("literal", ["1e99999999", "1e-99999999", "1e9999999999999999999", "9" * 5000])
+def test_huge_literals_are_errors_at_once(small, literal):
+    with pytest.raises(DialectError):
+        small.sql(f"SELECT ts FROM wide WHERE ts < {literal}")
+    if len(literal) < 20:
+        assert small.sql(f"SELECT ts FROM wide WHERE f32_c < {literal}").count() == (0 if "-" in literal else 6)
+
+
+def test_delta_encoding(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"k": "I64"}))
+    engine.insert("t", spark.range(100_000).coalesce(1), options={"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
+    column = pq.ParquetFile(next((tmp_path / "t" / "part_00001").glob("*.parquet"))).metadata.row_group(0).column(0)
+    assert "DELTA_BINARY_PACKED" in column.encodings and column.total_compressed_size < 100_000
 
 
 @pytest.mark.parametrize("compression", ["lz4_raw", "none"])
@@ -193,8 +339,11 @@ def test_replaced_parts_are_invisible_before_they_are_deleted(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     table = engine.create_table(TableSchema.of("t", {"k": "I64"}))
     engine.insert("t", [(1,)])
-    table.insert(table.scan(), replaces=(1,))
+    table._write(table.scan(), table.parts(), {}, None)
     assert rows(engine, "SELECT k FROM t") == [(1,)]
+    table.files.write(f"t/merged_00002/{MANIFEST}", "{")
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path)).table("t").parts()
 
 
 def test_catalog(spark, tmp_path):
@@ -246,6 +395,16 @@ def test_streams(spark, tmp_path):
     assert rows(engine, "SELECT k FROM t") == [(k,) for k in range(5)]
     again = engine.table("t").insert(spark.range(5), batch=f"{tmp_path / 'check'}#0")
     assert again is None
+    spark.range(5, 7).write.mode("append").parquet(source)
+    stream_into(engine, "t", engine.spark.readStream.schema("id long").parquet(source), str(tmp_path / "check")).awaitTermination()
+    engine.compact("t")
+    for number in (0, 1):
+        assert engine.table("t").insert(spark.range(5), batch=f"{tmp_path / 'check'}#{number}") is None, "compacted, but published"
+    engine.insert("t", [(9,)])
     out = stream_from(engine, "t").writeStream.format("memory").queryName("out").trigger(availableNow=True).start()
     out.awaitTermination()
-    assert engine.spark.table("out").count() == 5
+    assert sorted(r.k for r in engine.spark.table("out").collect()) == [0, 1, 2, 3, 4, 5, 6, 9]
+    engine.table("t").vacuum(retention=0)
+    with pytest.raises(ValueError, match="would miss"):
+        stream_from(engine, "t")
+    assert stream_from(engine, "t", resumed=True).isStreaming
