@@ -72,12 +72,54 @@ def share_rows(texts: pa.Array) -> pa.Array:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k), X binomial(n, p): the exact p-value against a rate of p or more."""
-    if n == 0:
+    """P(X <= k), X binomial(n, p): the exact p-value against a rate of p or more, whatever the size of n.
+
+    It is the regularised incomplete beta function I(1 - p; n - k, k + 1), by its continued fraction (modified Lentz)
+    on the side where that converges.
+    """
+    if n <= 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if k < 0:
+        return 0.0
+    a, b, x = float(n - k), float(k + 1), 1 - p
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, beta_part(a, b, x, p))
+    return max(0.0, 1 - beta_part(b, a, p, x))
+
+
+def beta_part(a: float, b: float, x: float, y: float) -> float:
+    """I(x; a, b), y = 1 - x, for x below about (a + 1) / (a + b + 2)."""
+    front = peak(a, b, x, y) / a
+    tiny, c, d = 1e-300, 1.0, 0.0
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            c = 1 + step / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14 or m > 10_000_000:  # about sqrt(n) steps are needed
+            return front * h
+
+
+def stirling_rest(z: float) -> float:
+    """log gamma(z) less (z - 1/2) log z - z + log(2 pi) / 2, for z of some size."""
+    if z < 15:
+        return math.lgamma(z) - (z - 0.5) * math.log(z) + z - 0.5 * math.log(2 * math.pi)
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+
+
+def peak(a: float, b: float, x: float, y: float) -> float:
+    """x^a y^b / B(a, b) without the cancellation of large logarithms."""
+    n = a + b
+    drift = lambda u: u - math.log1p(u)
+    delta = x * b - y * a  # x n - a
+    exponent = -a * drift(delta / a) - b * drift(-delta / b) + stirling_rest(n) - stirling_rest(a) - stirling_rest(b)
+    return math.exp(exponent) * math.sqrt(a / n * b / (2 * math.pi))
 
 
 def cutoffs_at(counts: dict[int, int], tails: tuple[float, ...] = TAILS) -> list[int]:
@@ -114,28 +156,31 @@ def certified(tested: list[tuple[int, int]], good: int, strata: int, risk: float
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, blank, a column for each rule)."""
+    """(doc_id, h, stratum, blank, a column for each rule); h is a hash of the text."""
     text = F.col("text")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("h"),
         F.coalesce(F.col("lang"), F.lit(NONE)).alias("stratum"),
         (text.isNull() | ~text.rlike(r"\S")).alias("blank"),
         share_column(text).alias("shares"),
     )
-    return rows.select("doc_id", "stratum", "blank", "shares.*")
+    return rows.select("doc_id", "h", "stratum", "blank", "shares.*")
 
 
 def choose(features: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, tails: tuple[float, ...] = TAILS) -> dict[str, dict[str, int]]:
     """{stratum: {rule: cutoff}} from all labelled documents; strata without a certified level are missing.
 
-    Half of the labelled documents, by hash of doc_id, give each level's cutoffs: those rates of its good documents
+    A trial is a distinct labelled text of a stratum, so that copies aren't counted as independent; of its labels the
+    least holds. Half of the texts, by hash, give each level's cutoffs: those rates of its good ones
     are above them, rule by rule. The other half tests the levels, all rules together. Both are counted by Spark over
     all labels; the driver gets counts by stratum, rule and bin only.
     """
     names = RULES
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = features.where(~F.col("blank")).join(marks, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)))
-    known = cut(known)
+    known = features.where(~F.col("blank")).join(marks, "doc_id")
+    known = known.groupBy("stratum", "h").agg(F.min("quality").alias("quality"), *[F.min(n).alias(n) for n in names])
+    known = cut(known.withColumn("half", F.pmod(F.xxhash64("h", F.lit(9)), F.lit(2))))
     fit = known.where((F.col("half") == 0) & (F.col("quality") >= 1))
     bins = fit.select("stratum", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("bin")) for n in names])).alias("x"))
     counts: dict[tuple[str, str], dict[int, int]] = {}
@@ -181,8 +226,8 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     A document goes if a rule's share is over the cutoff that choose() certified for its language. A language whose
     labels can't certify any cutoff keeps all its documents. Null or blank texts break the rule "blank" and go. Null
-    languages are the stratum "(none)". Null ids are judged but can't be labelled; repeated rows are each judged and,
-    if labelled, each counted. Of several labels for one document the least holds. Further columns are ignored. An
+    languages are the stratum "(none)". Null ids are judged but can't be labelled; repeated rows are each judged, but
+    count as one labelled text. Of several labels for one document the least holds. Further columns are ignored. An
     empty table gives no rows; empty labels certify nothing.
     """
     features = cut(measured(docs))
@@ -193,7 +238,11 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns, whatever these are called.
+
+    Null and blank texts go; null ids, null languages, ties and repeated rows are treated as in judge(). An empty table
+    stays empty; empty labels let all but blank texts stay.
+    """
     cutoffs = choose(cut(measured(docs)), labels, **options)
     name = fresh(docs, "shares")
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")

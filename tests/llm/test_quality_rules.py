@@ -17,6 +17,36 @@ def test_binomial_tail_is_exact(k, n, p):
     assert q.binomial_tail(k, n, p) == pytest.approx(float(sum(math.comb(n, i) * f**i * (1 - f) ** (n - i) for i in range(k + 1))), rel=1e-9)
 
 
+@pytest.mark.parametrize("n", [10**6, 10**8, 10**9, 10**12])
+def test_binomial_tail_of_many_trials(n):
+    """Against the normal distribution with the Edgeworth correction for skewness."""
+    p = 0.02
+    sd = math.sqrt(n * p * (1 - p))
+    for z in (-4, -1, 0, 1, 3):
+        k = int(n * p + z * sd)
+        x = (k + 0.5 - n * p) / sd
+        want = 0.5 * math.erfc(-x / math.sqrt(2)) - (1 - 2 * p) / (6 * sd) * (x * x - 1) * math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        assert q.binomial_tail(k, n, p) == pytest.approx(want, rel=5e-3)
+    assert q.binomial_tail(n, n, p) == 1 and q.binomial_tail(-1, n, p) == 0 and q.binomial_tail(0, 0, p) == 1
+
+
+def test_binomial_tail_agrees_with_sums():
+    r = random.Random(1)
+    for _ in range(200):
+        n, p = r.randint(1, 120), r.choice([0.02, 0.2, 0.5, 0.98])
+        k, f = r.randint(0, n), Fraction(p)
+        assert q.binomial_tail(k, n, p) == pytest.approx(float(sum(math.comb(n, i) * f**i * (1 - f) ** (n - i) for i in range(k + 1))), rel=1e-9)
+
+
+def test_copies_count_as_one_trial(spark):
+    docs, labels = corpus(spark)
+    good = docs.where("doc_id = 1").first().text
+    few = edges.documents(spark, [(i, good if i else good + " $$$", "xx", "s", 1) for i in range(1000)])
+    marks = edges.labels(spark, [(i, 1, 0) for i in range(1000)])
+    assert q.choose(q.measured(few), marks) == {}, "a thousand copies of one text prove nothing"
+    assert q.choose(q.measured(docs.union(docs)), labels) == q.choose(q.measured(docs), labels)
+
+
 def test_cutoffs():
     assert q.cutoffs_at({0: 90, 5: 9, 7: 1}, (0.0, 0.01, 0.1, 1.0)) == [7, 5, 0, 0]
     assert q.cutoffs_at({}, (0.0,)) == [q.BINS]
@@ -85,7 +115,7 @@ def test_choose_counts_like_brute_force(spark):
     docs, labels = corpus(spark)
     features = q.measured(docs).toPandas()
     marks = labels.select("doc_id", "quality").toPandas().set_index("doc_id")["quality"]
-    half = {r.doc_id: r.half for r in labels.selectExpr("doc_id", "pmod(xxhash64(doc_id, 9), 2) as half").collect()}
+    half = {r.doc_id: r.half for r in docs.selectExpr("doc_id", "pmod(xxhash64(xxhash64(text), 9), 2) as half").collect()}
     features["good"], features["half"] = features.doc_id.map(marks) >= 1, features.doc_id.map(half)
     want, strata = {}, sorted(features.stratum.unique())
     for s in strata:
