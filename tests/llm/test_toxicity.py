@@ -10,31 +10,51 @@ PLAIN = t.Lexicon()
 
 
 @pytest.mark.parametrize("text,low,high", [
-    ("You are an idiot.", 1.0, 9), ("Such a moron wrote it", 1.0, 9), ("I will kill you", 1.0, 9), ("you I will kill", 1.0, 9),
-    ("They kill time", 0.9, 9), ("to kill a process", 0.05, 0.5), ("She is not an idiot.", 0.01, 0.5), ("Never call them stupid", 0.01, 0.5),
-    ('He said "you idiot" and left', 0.01, 0.5), ('He said "hello" to that idiot', 1.0, 9), ("A fine day. The weather is nice", 0, 0), ("", 0, 0), (None, 0, 0),
-    ("IDIOT", 1.0, 9), ("idiotically", 0, 0),
+    ("You are an idiot.", 1.0, 9), ("You stupid idiot", 1.0, 9), ("Such a moron wrote it", 0.5, 0.9), ("Such a pathetic moron wrote it", 1.0, 9), ("I will kill you", 1.0, 9),
+    ("A moron wrote this. What trash it is.", 1.0, 9), ("They are scum", 1.0, 9), ("You're an idiot", 1.0, 9), ("You’re an idiot", 1.0, 9), ("tu es un imbécile", 1.0, 9), ("de tels imbéciles: l'imbécile, d'abruti", 1.0, 9),
+    ("They kill time", 0.05, 0.9), ("I hurt my knee, you know", 0.05, 0.9), ("to kill a process", 0.05, 0.5), ("Use kill to stop the process. " * 10, 0.05, 0.5), ("kill " * 5000, 0.05, 0.5), ("Take out the trash.", 0.5, 0.9),
+    ("She is not an idiot.", 0.01, 0.5), ("Never call them stupid", 0.01, 0.5), ("She isn't an idiot.", 0.01, 0.5), ("She isn’t an idiot.", 0.01, 0.5), ("You ain't stupid", 0.01, 0.5),
+    ('He said "you idiot" and left', 0.01, 0.5), ('He said "You idiot. You moron."', 0.01, 0.5), ("He said that she is an idiot", 0.01, 0.5), ("He says you are an idiot", 0.01, 0.5), ("Er sagt, dass du ein Vollidiot bist", 0.01, 0.5),
+    ('He said "hello" to that idiot', 0.5, 0.9), ('He said "hello. You are an idiot', 0.01, 0.5), ('He said "hello\nYou are an idiot', 1.0, 9), ('He said "' + "So. " * 8 + "You are an idiot", 1.0, 9),
+    ("A fine day. The weather is nice", 0, 0), ("", 0, 0), (None, 0, 0), ("IDIOT", 0.5, 0.9), ("idiotically", 0, 0),
+    ("What a clown." + " word" * 300 + ". Such trash.", 0.5, 0.9), ("What a clown." + " word" * 150 + ". Such trash.", 1.0, 9),
 ])
 def test_clauses(text, low, high):
     assert low <= t.score_text(text, PLAIN)[0] <= high
 
 
+def test_long_patterns_are_whole():
+    score, clauses, pattern = t.score_text("you idiot " * 500, PLAIN)
+    assert 1 <= score < 3 and clauses == 1 and pattern == "YI" * 500
+
+
 def test_composition_is_one_after_the_other():
+    parts = (t.negation(), t.reported(), t.target(), t.weighing())
     for n in range(5):
         for symbols in itertools.product(t.ALPHABET, repeat=n):
-            states, total = [0, 0, 0], 0.0
-            for s in symbols:
-                for k, part in enumerate((t.negation(), t.reported(), t.target())):
+            states, totals = [0] * len(parts), [0.0]
+            for given in symbols:
+                s = given
+                for k, part in enumerate(parts):
                     states[k], s, w = part.step(states[k], s)
-                    total += w
-            assert t.GRAMMAR.score(symbols) == pytest.approx(total)
+                    totals[-1] += w
+                if given in "BP":
+                    totals.append(0.0)
+            assert t.grammar().weights(symbols) == pytest.approx(totals)
+
+
+def test_clauses_are_limited_and_begin_anew():
+    for symbols in itertools.product("YITQR", repeat=6):
+        one = t.grammar().weights(symbols)[0]
+        assert one <= t.AT + t.MORE + t.BARE + t.AIMED + t.EXEMPT
+        assert t.grammar().weights([*symbols, "P", *symbols]) == pytest.approx([one, one])
 
 
 def corpus(spark, n=400):
     docs, marks = [], []
     for i in range(n):
         bad = i % 5 == 0
-        text = f"der text nummer{i % 97} hat worte{i % 31} genug" + (f". ein zorfel{'abcdefg'[i % 7]} ist da" if bad else "")
+        text = f"der text nummer{i % 97} hat worte{i % 31} genug" + (f". ein zorfel{'abcdefg'[i % 7]} ist da" if bad else ". ein haus ist da")
         docs.append((i, text, "de", "s", len(text)))
         marks.append((i, 1, int(bad)))
     return edges.documents(spark, docs), edges.labels(spark, marks)
@@ -50,6 +70,36 @@ def test_stems_are_learned(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 5}
 
 
+def test_a_lone_word_is_enough_only_if_the_labels_say_so(spark):
+    docs, labels = corpus(spark)
+    assert t.learn(docs, labels).lone == t.THRESHOLD
+    doubtful = edges.documents(spark, [(1000 + i, f"one moron is here {i}", "de", "s", 1) for i in range(100)])
+    marks = edges.labels(spark, [(1000 + i, 1, i % 2) for i in range(100)])
+    assert t.learn(docs.union(doubtful), labels.union(marks)).lone == t.LONE
+    assert t.learn(docs, edges.labels(spark, [])).lone == t.LONE
+
+
+def test_words_of_a_rare_language_are_learned(spark):
+    docs, marks = [], []
+    for i in range(2000):
+        rare, bad = i % 20 == 0, i % 5 == 0
+        words = [f"wort{i % 131}", f"und{i * 7 % 97}", f"silbe{i * 13 % 389}"]
+        if bad:
+            words.insert(1, ("fremdbok" if rare else "zorfel") + "abcd"[i // 20 % 4])
+        docs.append((i, " ".join(words), "xx" if rare else "de", "s", 1))
+        marks.append((i, 1, int(bad)))
+    lexicon = t.learn(edges.documents(spark, docs), edges.labels(spark, marks))
+    assert all(t.symbol(w, lexicon.symbols(), tuple(lexicon.stems)) == "I" for w in ("fremdboka", "fremdbokd", "zorfelb"))
+
+
+def test_copies_of_one_toxic_document_teach_nothing(spark):
+    docs, labels = corpus(spark)
+    copy = " ".join(f"eigenes{k}wort" for k in "abcdefghijklmnopqrstuvwxyz" * 3)
+    copies = [(2000 + i, f"{copy} zorfela nummer{i}", "de", "s", 1) for i in range(60)]
+    lexicon = t.learn(docs.union(edges.documents(spark, copies)), labels.union(edges.labels(spark, [(d, 1, 1) for d, *_ in copies])))
+    assert not any("eigenes" in e for e in lexicon.words | lexicon.stems) and any("zorfela".startswith(s) for s in lexicon.stems)
+
+
 def test_cover():
     holding = {"abcd": {1, 2, 3, 4, 5, 6}, "abcde$": {1, 2, 3, 4, 5, 6}, "copy$": {1, 2, 3, 4, 5}, "other": {6, 7, 8, 9, 10, 11}, "rare$": {12}}
     assert t.cover(holding, 3) == ["abcde$", "other"] and t.cover({}, 3) == []
