@@ -7,22 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut
+from lamina.llm.common import cut, sum_vectors
 
 K = 10
 #: Rotated columns are scanned in blocks of BLOCK; a candidate is abandoned after d of D columns if its partial
 #: distance, scaled by D / d, is over the query's bound by a factor (1 + EPSILON / sqrt(d)) squared.
 BLOCK = 16
 EPSILON = 2.1
-#: Recall that the number of probed lists is chosen for, on TUNING queries against an exact search of all vectors.
+#: Recall that the reach of the probes is chosen for, on TUNING queries against an exact search of all vectors.
 TARGET = 0.97
-TUNING = 200
+TUNING = 400
 ROUNDS = 4
 QUERIES = 16384
+SLICE = 512
 SEED = 3
+#: Relative error of float32 distances from a common point, with a margin.
+SLACK = 4e-6
 
 
 def rotation(d: int) -> np.ndarray:
@@ -42,35 +46,53 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def scan(queries: np.ndarray, bound: np.ndarray, vectors: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, squared distance) of the pairs that no test abandons and whose distance is under bound (squared).
+    """(query, vector, squared distance) of the pairs that no test abandons and whose distance is at most bound (squared).
 
-    While many candidates are left a block is one matrix product for all of them; once few are, only theirs.
+    Products are taken from the vectors' mean, so that what float32 loses is small beside the distances however far
+    from the origin all lie; a pair is abandoned only if it is over the limit by more than that loss, and distances are
+    computed from differences in float64. While many candidates are left a block is one matrix product for all of
+    them; once few are, only theirs.
     """
     d = queries.shape[1]
-    total = np.zeros((len(queries), len(vectors)), np.float32)
+    middle = vectors.mean(axis=0, dtype=np.float64)
+    q, x = (queries - middle).astype(np.float32), (vectors - middle).astype(np.float32)
+    loss = np.float32(SLACK) * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :])
+    total = np.zeros((len(q), len(x)), np.float32)
     alive, at = np.ones(total.shape, bool), 0
     while at < d:
         end = min(d, at + BLOCK)
-        total += squared(queries[:, at:end], vectors[:, at:end])
+        total += squared(q[:, at:end], x[:, at:end])
         at = end
         limit = bound * (at / d * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else 1)
-        alive &= total <= limit[:, None].astype(np.float32) * np.float32(1 + 1e-5)
+        alive &= total - loss <= limit[:, None].astype(np.float32) * np.float32(1 + 1e-5)
         if alive.mean() < 0.2:
             break
     i, j = np.nonzero(alive)
-    part = total[i, j]
+    part, lost = total[i, j], loss[i, j]
     while at < d and len(i):
         end = min(d, at + BLOCK)
-        part = part + ((queries[i, at:end] - vectors[j, at:end]) ** 2).sum(axis=1)
+        part = part + ((q[i, at:end] - x[j, at:end]) ** 2).sum(axis=1)
         at = end
         limit = bound[i] * (at / d * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else 1 + 1e-5)
-        left = part <= limit
-        i, j, part = i[left], j[left], part[left]
+        left = part - lost <= limit
+        i, j, part, lost = i[left], j[left], part[left], lost[left]
     exact = ((queries[i].astype(np.float64) - vectors[j]) ** 2).sum(axis=1)
     left = exact <= bound[i]
     return i[left], j[left], exact[left]
 
 
+#: A null id, in numpy's order after all others.
+NOBODY = np.iinfo(np.int64).max
+
+
+def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, NOBODY).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else pc.fill_null(column, NOBODY).to_numpy()
+
+
+def nullable(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NOBODY)
+
+
 def nearest(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k nearest of each i, of equal distances the least id."""
     order = np.lexsort((ids, dist, i))
@@ -78,8 +100,33 @@ def nearest(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(order)) - first < k]
 
 
+def margins(x: np.ndarray, c: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(home, how far each vector is from the cell of each centroid): no vector of a cell is nearer.
+
+    Vectors are in the cell of their nearest centroid, home. Cells are bounded by the planes halfway between centroids.
+    """
+    dist = squared(x.astype(np.float64), c.astype(np.float64))
+    home = dist.argmin(axis=1) if home is None else home
+    between = np.sqrt(np.maximum(squared(c[home].astype(np.float64), c.astype(np.float64)), 1e-300))
+    return home, (dist - dist[np.arange(len(x)), home][:, None]) / (2 * between)
+
+
+def centre(rows: DataFrame, d: int) -> np.ndarray:
+    """The mean of all vectors of rows(.., embedding)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + 1)
+        for b in batches:
+            total[:d] += b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, d).sum(axis=0)
+            total[d] += b.num_rows
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    total = sum_vectors(rows.select("embedding").mapInArrow(add, "chunk int, data binary"), "<f8").get(0, np.zeros(d + 1))
+    return total[:d] / max(1, total[d])
+
+
 def prepared(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(rid, vec_id, v): rotated vectors as bytes, and their number of columns; checkpointed.
+    """(rid, vec_id, v): vectors less their mean, rotated, as bytes, and their number of columns; checkpointed.
 
     Vectors that are null, empty, not of the commonest length, or hold a null, a NaN or an infinity are left out.
     """
@@ -88,17 +135,26 @@ def prepared(vectors: DataFrame) -> tuple[DataFrame, int]:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 3e18))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     rows = rows.where((F.size("embedding") == d) & finite)
+    mean = centre(rows, d)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = rotation(d)
+        r = rotation(d).astype(np.float64)
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, d) @ r
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, d) - mean
+            # In float64, so that equal vectors stay equal in float32 whatever batch they are in.
+            x = (x @ r).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "v"])
 
     turned = rows.mapInArrow(turn, "vec_id long, v binary")
     return cut(turned.withColumn("rid", F.monotonically_increasing_id())), d
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def centroids(rows: DataFrame, d: int, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """k-means over all vectors from `lists` of them, chosen by hash. What the driver gets grows as the lists only."""
     spark = rows.sparkSession
@@ -110,7 +166,7 @@ def centroids(rows: DataFrame, d: int, lists: int, rounds: int = ROUNDS) -> np.n
         def add(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             c = known.value
             sums = np.zeros((len(c), d + 1))
-            for b in batches:
+            for b in sliced(batches):
                 x = matrix(b.column(0))
                 at = squared(x, c).argmin(axis=1)
                 np.add.at(sums[:, :d], at, x)
@@ -130,112 +186,137 @@ def centroids(rows: DataFrame, d: int, lists: int, rounds: int = ROUNDS) -> np.n
     return c
 
 
-def tuned(rows: DataFrame, c: np.ndarray, k: int, target: float) -> int:
-    """How many lists to probe for the target recall, from TUNING vectors, by hash, searched exactly in all vectors."""
+def tuned(rows: DataFrame, c: np.ndarray, k: int, target: float) -> float:
+    """Up to what share of its bound a query must look beyond its own cell for the target recall.
+
+    From TUNING vectors, by hash, searched exactly in all vectors: for each of their true neighbours, the margin to its
+    cell over the query's bound, its k-th distance in the own list. Each quarter of the queries by bound, from dense to
+    sparse regions, gets the target. At 1 no neighbour is missed, whatever the data.
+    """
     some = rows.orderBy(F.xxhash64("rid", F.lit(SEED + 1)), "rid").limit(TUNING).select("rid", "v").collect()
     q, ids = np.stack([np.frombuffer(r.v, np.float32) for r in some]), np.array([r.rid for r in some])
     known = rows.sparkSession.sparkContext.broadcast((q, ids, c))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, ids, c = known.value
-        rank = np.argsort(np.argsort(squared(q, c), axis=1), axis=1)
+        own, far = margins(q, c)
         for b in batches:
             rid, x = b.column(0).to_numpy(), matrix(b.column(1))
-            dist = squared(q, x)
-            dist[ids[:, None] == rid[None, :]] = np.inf
-            i, j = np.repeat(np.arange(len(q)), min(k, len(x))), np.argsort(dist, axis=1)[:, :k].ravel()
             home = squared(x, c).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(dist[i, j], pa.float64()), pa.array(rank[i, home[j]])], ["q", "dist", "rank"])
-
-    found = rows.select("rid", "v").mapInArrow(search, "q long, dist double, rank long").where("dist < double('infinity')")
-    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "rank"))), 1, k).alias("best"))
-    ranks = np.array([x["rank"] for r in best.collect() for x in r.best])
-    counts = np.cumsum(np.bincount(ranks, minlength=len(c))) if len(ranks) else np.ones(len(c))
-    return int(np.searchsorted(counts, target * counts[-1]) + 1)
+            dist = squared(q, x).astype(np.float64)
+            dist[ids[:, None] == rid[None, :]] = np.inf
+            inside = np.where(home[None, :] == own[:, None], dist, np.inf)
+            for kind, each in enumerate((dist, inside)):
+                i, j = np.repeat(np.arange(len(q)), min(k, len(x))), np.argsort(each, axis=1)[:, :k].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), kind)), pa.array(np.maximum(each[i, j], 0)), pa.array(far[i, home[j]])], ["q", "kind", "dist", "margin"])
+
+    found = rows.select("rid", "v").mapInArrow(lambda b: search(sliced(b)), "q long, kind long, dist double, margin double").where("dist < double('infinity')")
+    best = found.groupBy("q", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "margin"))), 1, k).alias("best")).collect()
+    inside = {r.q: math.sqrt(r.best[-1].dist) for r in best if r.kind == 1 and len(r.best) == k}
+    queries = sorted((inside[r.q], [x.margin / max(inside[r.q], 1e-30) for x in r.best]) for r in best if r.kind == 0 and r.q in inside)
+    reach = 0.0
+    for part in np.array_split(np.arange(len(queries)), 4):
+        if len(part):
+            ratios = np.concatenate([queries[i][1] for i in part])
+            reach = max(reach, float(np.quantile(ratios, target, method="higher")))
+    return min(1.0, max(0.0, reach)) if queries else 1.0
 
 
 def knn(vectors: DataFrame, k: int = K, target: float = TARGET) -> DataFrame:
     """(vec_id, neighbour_id, rank, distance): the k nearest other rows of each row of vectors(vec_id, embedding).
 
-    Vectors are rotated at random and put into about sqrt(N) / 4 lists by k-means over all of them. Each row's bound is
-    the distance of its k-th neighbour in its own list; it then probes the lists of the nearest centroids, as many as
-    reach the target recall on a tuning sample, and scan() abandons candidates whose partial distance over a few blocks
-    of columns already shows, by a test at EPSILON, that they are over the bound. Distances given are exact.
+    Vectors, less the mean of all, are rotated at random and put into about sqrt(N) / 4 lists by k-means over all of
+    them. Each row's bound is the distance of its k-th neighbour in its own list; it then probes the lists whose cells
+    are nearer than `reach` times its bound (see tuned), few in dense regions and as many as it takes in sparse ones,
+    and scan() abandons candidates whose partial distance over a few blocks of columns already shows, by a test at
+    EPSILON, that they are over the bound. Distances given are exact.
 
     Rows without a usable vector (see prepared) have no neighbours and are nobody's. Equal vectors are neighbours at
-    distance 0, repeated rows too; ties go to the lower row number. Null ids are carried along. Further columns are
-    ignored. An empty table gives no rows; a table of fewer than k + 1 rows gives all pairs.
+    distance 0, repeated rows too; ties go to the lower vec_id, null ids last. Null ids are carried along. Further
+    columns are ignored. An empty table gives no rows; a table of fewer than k + 1 rows gives all pairs.
     """
     spark = vectors.sparkSession
-    schema = "rid long, other long, dist double"
+    schema = "rid long, vec_id long, neighbour_id long, dist double"
+    names = ["rid", "vec_id", "neighbour_id", "dist"]
     rows, d = prepared(vectors)
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
     c = centroids(rows, d, max(1, math.ceil(math.sqrt(n) / 4)))
-    probes = tuned(rows, c, k, target)
+    reach = tuned(rows, c, k, target)
     known = spark.sparkContext.broadcast(c)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            home = squared(matrix(b.column(1)), known.value).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), b.column(0), b.column(1)], ["list", "rid", "v"])
-
-    homes = cut(rows.select("rid", "v").mapInArrow(assign, "list int, rid long, v binary"))
+        for b in sliced(batches):
+            home = squared(matrix(b.column(2)), known.value).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *b.columns], ["list", "rid", "vec_id", "v"])
 
     def within(key: tuple, rows: pa.Table) -> pa.Table:
-        """The k nearest in the own list."""
-        ids, x = rows.column("rid").to_numpy(), matrix(rows.column("v"))
-        found = []
-        for at in range(0, len(x), 512):
-            dist = squared(x[at : at + 512], x)
-            dist[np.arange(len(dist)), at + np.arange(len(dist))] = np.inf
-            keep = min(k, len(x) - 1)
+        """Each row with its bound and its k nearest in the own list, as bytes."""
+        ids, x = ids_of(rows.column("vec_id")), matrix(rows.column("v"))
+        inner = (x - x.mean(axis=0, dtype=np.float64)).astype(np.float32)
+        keep, bounds, near = min(k, len(x) - 1), [], []
+        for at in range(0, len(x), SLICE):
+            dist = squared(inner[at : at + SLICE], inner)
+            m = len(dist)
+            dist[np.arange(m), at + np.arange(m)] = np.inf
+            # As many more as may be nearer than float32 says, so that the exact order decides, ties included.
+            size = (inner[at : at + SLICE] ** 2).sum(axis=1)
             if keep < 1:
+                bounds += [math.inf] * m
+                near += [(b"", b"")] * m
                 continue
-            j = np.argpartition(dist, keep - 1, axis=1)[:, :keep].ravel()
-            i = np.repeat(np.arange(len(dist)), keep)
+            limit = np.partition(dist, keep - 1, axis=1)[:, keep - 1] * (1 + 1e-5) + 2 * SLACK * (size + (inner * inner).sum(axis=1).max())
+            i, j = np.nonzero(dist <= limit[:, None])
             exact = ((x[at + i].astype(np.float64) - x[j]) ** 2).sum(axis=1)
-            found.append((ids[at + i], ids[j], exact))
-        cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table(dict(zip(("rid", "other", "dist"), cols)))
+            best = nearest(i, ids[j], exact, keep)
+            i, j, exact = i[best].reshape(m, keep), j[best].reshape(m, keep), exact[best].reshape(m, keep)
+            bounds += (exact[:, -1] if keep == k else np.full(m, np.inf)).tolist()
+            near += [(ids[o].tobytes(), e.tobytes()) for o, e in zip(j, exact)]
+        one, two = zip(*near)
+        return pa.table({**{c: rows.column(c) for c in ("list", "rid", "vec_id", "v")}, "bound": pa.array(bounds, pa.float64()), "ids": pa.array(one, pa.binary()), "dists": pa.array(two, pa.binary())})
+
+    homes = rows.select("rid", "vec_id", "v").mapInArrow(assign, "list int, rid long, vec_id long, v binary")
+    homes = cut(homes.groupBy("list").applyInArrow(within, "list int, rid long, vec_id long, v binary, bound double, ids binary, dists binary"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = [len(x) // 8 for x in b.column(2).to_pylist()]
+            other, dist = (np.frombuffer(b"".join(b.column(i).to_pylist()), t) for i, t in ((2, np.int64), (3, np.float64)))
+            at = pa.array(np.repeat(np.arange(b.num_rows), count))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), nullable(other), pa.array(dist)], names)
 
-    near = cut(homes.groupBy("list").applyInArrow(within, schema))
-    # Fewer than k in the own list bound nothing.
-    bounds = near.groupBy("rid").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-    asking = homes.join(bounds, "rid", "left").select("list", "rid", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    salts = max(1, math.ceil(n * probes / len(c) / QUERIES))
+    near = homes.select("rid", "vec_id", "ids", "dists").mapInArrow(own, schema)
+    salts = max(1, math.ceil(n / len(c) / QUERIES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each further list to probe."""
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                order = np.argsort(squared(matrix(b.column(2)), known.value), axis=1)[:, :probes]
-                i, j = np.nonzero(order != b.column(0).to_numpy()[:, None])
-                t = b.take(pa.array(i))
-                rid = t.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(order[i, j].astype(np.int32)), pa.array((rid % salts).astype(np.int32)), t.column(1), t.column(2), t.column(3)], ["list", "salt", "rid", "v", "bound"])
+        for b in sliced(batches):
+            home = b.column(0).to_numpy()
+            _, far = margins(matrix(b.column(3)), known.value, home)
+            i, j = np.nonzero((far <= reach * np.sqrt(b.column(4).to_numpy())[:, None]) & (np.arange(far.shape[1])[None, :] != home[:, None]))
+            t = b.take(pa.array(i))
+            salt = pa.array((t.column(1).to_numpy() % salts).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), salt, *t.columns[1:]], ["list", "salt", "rid", "vec_id", "v", "bound"])
 
     def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids, x = held.column("rid").to_numpy(), matrix(held.column("v")) if held.num_rows else None
-        rid, bound = asked.column("rid").to_numpy(), asked.column("bound").to_numpy()
-        found = []
-        if x is not None and len(rid):
+        ids, x = ids_of(held.column("vec_id")), matrix(held.column("v")) if held.num_rows else None
+        bound, found = asked.column("bound").to_numpy(), []
+        if x is not None and asked.num_rows:
             q = matrix(asked.column("v"))
-            for at in range(0, len(q), 512):
+            for at in range(0, len(q), SLICE):
                 for part in range(0, len(x), 2048):
-                    i, j, dist = scan(q[at : at + 512], bound[at : at + 512], x[part : part + 2048])
+                    i, j, dist = scan(q[at : at + SLICE], bound[at : at + SLICE], x[part : part + 2048])
                     best = nearest(i, ids[part + j], dist, k)
-                    found.append((rid[at + i[best]], ids[part + j[best]], dist[best]))
-        cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table(dict(zip(("rid", "other", "dist"), cols)))
+                    found.append((at + i[best], ids[part + j[best]], dist[best]))
+        i, other, dist = [np.concatenate(c) for c in zip(*found)] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        at = pa.array(i)
+        return pa.table({"rid": asked.column("rid").take(at), "vec_id": asked.column("vec_id").take(at), "neighbour_id": nullable(other), "dist": pa.array(dist)})
 
-    asked = asking.mapInArrow(spread, "list int, salt int, rid long, v binary, bound double").groupBy("list", "salt")
-    held = homes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("list", "salt")
+    asked = homes.select("list", "rid", "vec_id", "v", "bound").mapInArrow(spread, "list int, salt int, rid long, vec_id long, v binary, bound double").groupBy("list", "salt")
+    held = homes.select("list", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).groupBy("list", "salt")
     far = asked.cogroup(held).applyInArrow(probe, schema)
-    best = near.unionByName(far).groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))
-    flat = best.select("rid", F.posexplode("best").alias("at", "x")).select("rid", "at", "x.other", "x.dist")
-    ids = rows.select(F.col("rid"), "vec_id")
-    named = flat.join(ids, "rid").join(ids.select(F.col("rid").alias("other"), F.col("vec_id").alias("neighbour_id")), "other")
-    return named.select("vec_id", "neighbour_id", (F.col("at") + 1).alias("rank"), F.sqrt("dist").alias("distance"))
+    entry = F.struct("dist", F.col("neighbour_id").isNull().alias("missing"), "neighbour_id")
+    best = near.unionByName(far).groupBy("rid", "vec_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
+    flat = best.select("vec_id", F.posexplode("best").alias("at", "x"))
+    return flat.select("vec_id", "x.neighbour_id", (F.col("at") + 1).alias("rank"), F.sqrt("x.dist").alias("distance"))

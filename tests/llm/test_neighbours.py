@@ -8,6 +8,14 @@ def frame(spark, x):
     return spark.createDataFrame([(i, None if v is None else [None if e is None else float(e) for e in v], "clash", 0) for i, v in x], "vec_id long, embedding array<float>, rid string, list int")
 
 
+def recall(got, x, of=None):
+    x = x.astype(float)
+    dist = ((x * x).sum(axis=1)[:, None] - 2 * x @ x.T + (x * x).sum(axis=1)[None]) if len(x) > 5000 else np.stack([((x - v) ** 2).sum(axis=1) for v in x])
+    np.fill_diagonal(dist, np.inf)
+    best, found = np.argsort(dist, axis=1)[:, : nb.K], got.groupby("vec_id")["neighbour_id"].agg(set)
+    return np.mean([len(found[i] & set(best[i])) / nb.K for i in (range(len(x)) if of is None else of)])
+
+
 @pytest.mark.parametrize("kind", ["noise", "clusters"])
 def test_recall(spark, kind):
     r = np.random.default_rng(0)
@@ -25,6 +33,48 @@ def test_recall(spark, kind):
     assert (got.sort_values(["vec_id", "rank"]).groupby("vec_id")["distance"].diff().dropna() >= 0).all()
 
 
+@pytest.mark.parametrize("mean", [0, 30, 300])
+def test_recall_far_from_the_origin(spark, mean):
+    r = np.random.default_rng(mean)
+    x = ((r.normal(size=(20, 32)) * 2)[r.integers(0, 20, 2500)] + r.normal(size=(2500, 32)) + mean).astype(np.float32)
+    assert recall(nb.knn(frame(spark, list(enumerate(x)))).toPandas(), x) >= 0.95
+
+
+def test_recall_of_far_clusters_and_of_sparse_regions(spark):
+    """Most vectors in a few tight clusters far from one another, a fifth of them strewn between."""
+    r = np.random.default_rng(5)
+    tight = (r.normal(size=(4, 24)) * 300)[r.integers(0, 4, 2000)] + r.normal(size=(2000, 24)) * 0.5
+    x = np.concatenate([tight, r.normal(size=(500, 24)) * 300]).astype(np.float32)
+    got = nb.knn(frame(spark, list(enumerate(x)))).toPandas()
+    assert recall(got, x) >= 0.95 and recall(got, x, range(2000, 2500)) >= 0.9
+
+
+def test_margins_bound_distances():
+    r = np.random.default_rng(2)
+    c, x, y = (r.normal(size=(n, 8)) for n in (12, 50, 400))
+    home, far = nb.margins(x, c)
+    cell = nb.squared(y, c).argmin(axis=1)
+    dist = np.sqrt(nb.squared(x, y))
+    assert (far[:, cell] <= dist + 1e-9).all() and (far[np.arange(50), home] == 0).all()
+
+
+@pytest.mark.parametrize("mean", [0, 10, 1000])
+def test_scan_off_centre_is_exact(mean):
+    r = np.random.default_rng(3)
+    q, x = ((r.normal(size=(n, 48)) + mean).astype(np.float32) for n in (40, 300))
+    dist = ((q[:, None].astype(float) - x[None]) ** 2).sum(axis=2)
+    bound = np.sort(dist, axis=1)[:, 9]
+    i, j, d = nb.scan(q, bound, x, epsilon=1e9)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(dist <= bound[:, None]))) and np.allclose(d, dist[i, j])
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    r = np.random.default_rng(4)
+    x = [(int(i), r.integers(0, 2, 6).tolist()) for i in r.permutation(400)] + [(None, [0] * 6)]
+    got = [sorted(map(tuple, nb.knn(frame(spark, rows).repartition(n)).collect()), key=str) for rows, n in ((x, 1), (x[::-1], 7))]
+    assert got[0] == got[1]
+
+
 def test_scan_without_tests_is_exact():
     r = np.random.default_rng(1)
     q, x = r.normal(size=(40, 48)).astype(np.float32), r.normal(size=(300, 48)).astype(np.float32)
