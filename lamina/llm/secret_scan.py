@@ -51,11 +51,17 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+def mixed(value: str) -> bool:
+    """Whether a value has more than words have: digits, capitals after small letters, or marks that passwords have."""
+    return any(c.isdigit() for c in value) or re.search(r"[^\W\d_][!@#$%^*_+=~|\\]+[^\W_]|[a-z][A-Z]", value) is not None
+
+
 def candidates_in(text: str | None) -> list[tuple[str, str, bool, int, int, str]]:
     """(type, kind, strong, start, end, digest) of each part in a text, in characters; parts don't overlap.
 
-    A pattern earlier in PATTERNS wins. Assigned values count as strong from 2.5 bits of entropy a character on;
-    long runs count only from 3 bits on and with a digit.
+    A pattern earlier in PATTERNS wins. Assigned values count as strong from 2.5 bits of entropy a character on if they
+    are mixed() too, else as weak: prose after "secret:" is no secret by itself. An address is no assigned value unless
+    it holds a user. Long runs count only from 3 bits on and with a digit.
     """
     if not text or not HAS.search(text) and not any(n in text for n in NEEDLES):
         return []
@@ -69,7 +75,9 @@ def candidates_in(text: str | None) -> list[tuple[str, str, bool, int, int, str]
             start, end = m.span(m.re.groups)
             sure = strong
             if name == "assigned":
-                sure = entropy(value) >= 2.5
+                if "://" in value and "@" not in value:
+                    continue
+                sure = mixed(value) and entropy(value) >= 2.5
             if name == "long_run" and (entropy(value) < 3 or not any(c.isdigit() for c in value)):
                 continue
             at = bisect_left(taken, (start, end))
@@ -101,17 +109,18 @@ def candidates(docs: DataFrame) -> DataFrame:
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """parts that are reported: parts and how many complementary parts are in scope (linked).
 
-    Secrets are joined with the identifiers and endpoints of the same text that begin in their scope, by an equi-join
-    on the text and the BIN-character bins that the scope covers, and then the interval itself. Strong parts are
-    reported anyway, weak ones only if linked.
+    Secrets are joined with the identifiers and endpoints of the same text that their scope, `reach` characters on
+    either side, overlaps: by an equi-join on the text and the bins of BIN characters that both cover, and then the
+    intervals themselves, each pair in the first bin of both. Strong parts are reported anyway, weak ones only if linked.
     """
     key = ["doc_id", "h", "start", "end"]
     low, high = F.col("start") - reach, F.col("end") + reach
-    spans = F.sequence(F.floor(low / BIN), F.floor(high / BIN))
-    scopes = parts.where(F.col("kind") == SECRET).select(*[F.col(c).alias(f"s_{c}") for c in key], low.alias("low"), high.alias("high"), F.explode(spans).alias("s_bin"))
-    others = parts.where(F.col("kind") != SECRET).select(*key, F.floor(F.col("start") / BIN).alias("bin"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor(b / BIN)))
+    scopes = parts.where(F.col("kind") == SECRET).select(*[F.col(c).alias(f"s_{c}") for c in key], low.alias("low"), high.alias("high"), bins(low, high).alias("s_bin"))
+    others = parts.where(F.col("kind") != SECRET).select(*key, bins(F.col("start"), F.col("end")).alias("bin"))
     near = F.col("s_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s_h") == F.col("h")) & (F.col("s_bin") == F.col("bin"))
-    pairs = scopes.join(others, near & F.col("start").between(F.col("low"), F.col("high")))
+    once = F.col("bin") == F.greatest(F.floor(F.col("low") / BIN), F.floor(F.col("start") / BIN))
+    pairs = scopes.join(others, near & (F.col("start") <= F.col("high")) & (F.col("end") >= F.col("low")) & once)
     ends = F.explode(F.array(F.struct(*key), F.struct(*[F.col(f"s_{c}").alias(c) for c in key]))).alias("x")
     counts = pairs.select(ends).select("x.*").groupBy(*key).agg(F.count("*").alias("linked"))
     counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in key], "linked")
@@ -133,7 +142,11 @@ def findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """docs, every row and column, with each reported part in text replaced by [type]; n_chars, if there, is renewed."""
+    """docs, every row and column, with each reported part in text replaced by [type]; n_chars, if there, is renewed.
+
+    Texts without reported parts, null and empty ones too, stay as they are. Repeated rows and rows of null ids are each
+    redacted; long parts are struck out whole. Further columns keep their names and values. An empty table stays empty.
+    """
     found = linked(cut(candidates(docs)), reach)
     spans = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
     spans = cut(spans.select(F.col("doc_id").alias("f_doc_id"), F.col("h").alias("f_h"), "spans"))
