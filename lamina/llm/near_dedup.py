@@ -26,6 +26,11 @@ LIMIT = 0.27
 ALIKE = 0.7
 #: Prefix bits that a region can climb: those below a branch, which is one task's.
 CLIMB = 8
+#: Rows of a branch, and word sets of a group, that one task takes; larger ones are dealt to blocks, two to a task.
+MOST = 1 << 18
+GROUP = 8192
+#: Tables of up to so many rows, of a few numbers each, are broadcast.
+NARROW = 100_000
 SEED = 4
 
 CLASSES = byte_classes()
@@ -203,8 +208,23 @@ def regions(prefix: np.ndarray, top: int, depth: int, leaf: int) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF) -> DataFrame:
-    """(a, b): pairs of nodes(fp) that connect all that share a region of some trie, `depth` bits or less, and are close."""
+def paired(rows: DataFrame, blocks: Column, own: Column) -> DataFrame:
+    """rows with columns one and two: a row of a key with several blocks goes to each pair of blocks that its own is in,
+    so that each two rows meet; others have -1 and are there once."""
+    other = F.explode(F.when(blocks > 1, F.sequence(F.lit(0), (blocks - 1).cast("int"))).otherwise(F.array(F.lit(-1))))
+    mine = F.pmod(own, F.greatest(blocks, F.lit(1))).cast("int")
+    rows = rows.withColumn("mine", F.when(blocks > 1, mine).otherwise(F.lit(-2))).withColumn("other", other).where("mine != other")
+    lone = F.col("other") < 0
+    one, two = F.when(lone, -1).otherwise(F.least("mine", "other")), F.when(lone, -1).otherwise(F.greatest("mine", "other"))
+    return rows.withColumn("one", one).withColumn("two", two).drop("mine", "other")
+
+
+def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF, most: int = MOST) -> DataFrame:
+    """(a, b): pairs of nodes(fp) that connect all that share a region of some trie, `depth` bits or less, and are close.
+
+    A branch of a trie is one task's. Branches of more than `most` rows, which dense regions have, are dealt to blocks,
+    and each two blocks are one task's: a block holds fewer rows of each prefix, so its regions are as wide or wider.
+    """
     coarse = max(0, depth - CLIMB)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +253,18 @@ def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF) -> D
         one, two = ([fps[p[i]].tobytes() for p in pairs] for i in range(2))
         return pa.table({"a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in plant(batches):
+            branch, n = np.unique(b.column(1).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b.column(0)[0].as_py(), np.int32)), pa.array(branch), pa.array(n)], ["trie", "branch", "n"])
+
     planted = nodes.select("fp").mapInArrow(plant, "trie int, branch long, fp binary")
+    if nodes.count() > most:
+        sizes = nodes.select("fp").mapInArrow(tally, "trie int, branch long, n long").groupBy("trie", "branch").agg(F.sum("n").alias("n"))
+        dense = cut(sizes.where(F.col("n") > most).select("trie", "branch", F.ceil(2 * F.col("n") / most).alias("blocks")))
+        dense = F.broadcast(dense) if dense.count() <= NARROW else dense
+        planted = paired(planted.join(dense, ["trie", "branch"], "left"), F.coalesce("blocks", F.lit(1)), F.xxhash64("fp"))
+        return planted.select("trie", "branch", "one", "two", "fp").groupBy("trie", "branch", "one", "two").applyInArrow(climb, "a binary, b binary")
     return planted.groupBy("trie", "branch").applyInArrow(climb, "a binary, b binary")
 
 
@@ -288,11 +319,12 @@ def alike(fps: np.ndarray, words: list[np.ndarray], weights: np.ndarray, limit:
     return np.array([root(i) for i in range(n)], np.int64)
 
 
-def divided(docs: DataFrame, linked: DataFrame, weights: Broadcast) -> DataFrame:
+def divided(docs: DataFrame, linked: DataFrame, weights: Broadcast, most: int = GROUP) -> DataFrame:
     """(r_fp, r_ws, part): the group by words of each word set in the groups of linked(root, fp, ws, h), where there are
-    several. Each group of linked is one task's, with one copy of each word set."""
+    several. A group of linked of up to `most` word sets is one task's, larger ones are dealt to blocks, each two of
+    which are one task's, and what the tasks find connected is joined again."""
     wanted = linked.groupBy("root", "fp", "ws").agg(F.min("h").alias("h"))
-    several = wanted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    several = wanted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     wanted = wanted.join(several, "root")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +332,7 @@ def divided(docs: DataFrame, linked: DataFrame, weights: Broadcast) -> DataFrame
             rows, hashes = each_word(lowered(batch))
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             words = [hashes[s:e].tobytes() for s, e in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary())], ["root", "fp", "ws", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words, pa.binary())], ["root", "fp", "ws", "n", "words"])
 
     def split(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("fp", "ascending"), ("ws", "ascending")])
@@ -308,12 +340,24 @@ def divided(docs: DataFrame, linked: DataFrame, weights: Broadcast) -> DataFrame
         words = [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
         least = alike(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS), words, weights.value, int(LIMIT * BITS))
         part = [fps[i] + ws[i].to_bytes(8, "big", signed=True) for i in least.tolist()]
-        return pa.table({"r_fp": pa.array(fps, pa.binary()), "r_ws": pa.array(ws, pa.int64()), "part": pa.array(part, pa.binary())})
+        return pa.table({"r_fp": pa.array(fps, pa.binary()), "r_ws": pa.array(ws, pa.int64()), "part": pa.array(part, pa.binary()), "several": pa.array([key[1].as_py() >= 0] * len(fps))})
 
     texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text")
-    held = texts.join(wanted, "h").select("root", "fp", "ws", "text").mapInArrow(read, "root binary, fp binary, ws long, words binary")
-    held = held.dropDuplicates(["root", "fp", "ws"])
-    return held.groupBy("root").applyInArrow(split, "r_fp binary, r_ws long, part binary")
+    held = texts.join(wanted, "h").select("root", "fp", "ws", "n", "text").mapInArrow(read, "root binary, fp binary, ws long, n long, words binary")
+    held = paired(held.dropDuplicates(["root", "fp", "ws"]), F.ceil(2 * F.col("n") / most).cast("long") * (F.col("n") > most).cast("long"), F.xxhash64("fp", "ws"))
+    found = cut(held.groupBy("root", "one", "two").applyInArrow(split, "r_fp binary, r_ws long, part binary, several boolean"))
+    large = found.where("several")
+    if large.isEmpty():
+        return found.drop("several")
+    own = set_id(F.col("r_fp"), F.col("r_ws"))
+    roots = components(large.select(own.alias("a"), F.col("part").alias("b")))
+    joined_up = large.select("r_fp", "r_ws").distinct().join(roots, own == F.col("node"), "left").select("r_fp", "r_ws", F.coalesce("root", own).alias("part"))
+    return found.where("not several").drop("several").unionByName(joined_up)
+
+
+def set_id(fp: Column, ws: Column) -> Column:
+    """fp and ws as bytes that are ordered as they are."""
+    return F.concat(fp, F.unhex(F.lpad(F.hex(ws), 16, "0")))
 
 
 def grouped(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -326,8 +370,8 @@ def grouped(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     linked = cut(found.where("fp is not null").join(roots, found.fp == roots.node, "left").select("h", "fp", "ws", F.coalesce("root", "fp").alias("root")))
     parts = divided(docs, linked, weights)
     same = (found.fp == parts.r_fp) & (found.ws == parts.r_ws)
-    own = F.concat("fp", F.unhex(F.lpad(F.hex("ws"), 16, "0")))
-    return found.join(parts, same, "left").select("doc_id", "h", "rid", F.coalesce("part", own).alias("root"))
+    own = F.coalesce("part", set_id(F.col("fp"), F.col("ws")))
+    return found.join(parts, same, "left").select("doc_id", "h", "rid", own.alias("root"))
 
 
 def order() -> Column:

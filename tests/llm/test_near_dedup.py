@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import near_dedup as nd
 
@@ -106,6 +107,59 @@ def test_sparse_regions_climb(spark):
     assert {frozenset(map(bytes, p)) for p in nd.close_pairs(nodes, 4, 2).collect()} == {frozenset(both)}
 
 
+def test_regions_of_different_density_have_different_depths():
+    """A region's depth: the bits that its first and last prefix share."""
+    r = np.random.default_rng(8)
+    dense = r.integers(0, 2**63, 5000).astype(np.uint64) >> np.uint64(3)  # all begin with 0000
+    sparse = r.integers(0, 2**63, 40).astype(np.uint64) | np.uint64(1 << 63)
+    prefix = np.sort(np.concatenate([dense, sparse]))
+    region = nd.regions(prefix, 1, 9, 64)
+    where = {int(s): np.flatnonzero(region == s) for s in np.unique(region)}
+    assert all((np.diff(at) == 1).all() for at in where.values())
+    depths = {s: 64 - int(prefix[at[0]] ^ prefix[at[-1]]).bit_length() for s, at in where.items()}
+    assert all(len(at) <= 64 or depths[s] >= 9 for s, at in where.items())
+    assert 5000 in where and len(where[5000]) == 40, "the sparse half climbs to its first bit"
+    assert min(depths[s] for s in where if s < 5000) >= 8, "the crowded sixteenth goes down"
+
+
+def linked_groups(pairs):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {x: root(x) for x in list(parent)}
+
+
+def test_dense_branches_are_dealt_to_blocks(spark):
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2, (40, nd.BITS)).astype(np.uint8)
+    fps = base[r.integers(0, 40, 900)]
+    fps[r.random(fps.shape) < 0.03] ^= 1
+    nodes = spark.createDataFrame([(np.packbits(x).tobytes(),) for x in fps], "fp binary").distinct()
+    one, many = ([tuple(map(bytes, p)) for p in nd.close_pairs(nodes, 3, 3, 16, most=m).collect()] for m in (10**6, 60))
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    assert all(apart(a, b) <= int(nd.LIMIT * nd.BITS) for a, b in many)
+    groups, wider = linked_groups(one), linked_groups(many)
+    assert all(wider[a] == wider[b] for a, b in one) and len(groups) > 800
+    sizes = nd.paired(spark.range(500).withColumn("blocks", F.lit(4)), F.col("blocks"), F.col("id")).groupBy("one", "two").count().collect()
+    assert len(sizes) == 6 and sum(x["count"] for x in sizes) == 1500
+
+
+def test_large_groups_are_dealt_to_blocks(spark):
+    texts, _ = corpus(300)
+    docs = edges.documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    weights = nd.word_weights(docs)
+    found = nd.fingerprinted(docs, weights)
+    linked = found.select("h", "fp", "ws", F.substring("fp", 1, 0).alias("root"))  # all in one group
+    one, many = ({(bytes(r.r_fp), r.r_ws): bytes(r.part) for r in nd.divided(docs, linked, weights, most=m).collect()} for m in (10**6, 40))
+    assert one == many and len(set(one.values())) < len(one)
+
+
 def test_short_documents_that_share_a_line_stay(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
