@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import base64
+import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, row_hash
+from lamina.llm.common import cut, row_hash, slices
 
-CAPACITY = 16384
+#: Ranks of a byte-level vocabulary, whose tokens' bytes make up any text.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CAPACITY = 4096
 SHARD = 50_000
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Longer runs of white space are tokenised in parts, as the pattern's backtracking has a limit.
+BLANKS = re.compile(r"\s{1000}")
+PIECES = "doc_id long, piece int, start long, length int"
 SCHEMA = "bin_id long, slot int, offset int, doc_id long, piece int, start long, length int"
 
 
@@ -25,8 +37,10 @@ def two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     Both searches are bit operations on the set of unpacked lengths, bit i being length i.
     """
     stock: dict[int, list[int]] = defaultdict(list)
-    for i in range(len(lengths) - 1, -1, -1):
-        stock[lengths[i]].append(i)
+    for i, n in enumerate(lengths):
+        stock[n].append(i)
+    for each in stock.values():
+        heapify(each)
     have = mirror = 0
     for n in stock:
         have |= 1 << n
@@ -37,7 +51,7 @@ def two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
         gap = capacity
         while gap and (fits := have & ((2 << gap) - 1)):
             n = fits.bit_length() - 1
-            held.append((n, stock[n].pop()))
+            held.append((n, heappop(stock[n])))
             if not stock[n]:
                 have ^= 1 << n
                 mirror ^= 1 << (capacity - n)
@@ -57,43 +71,82 @@ def two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
                 break
             back = held.pop(least)
             for n in pair:
-                held.append((n, stock[n].pop()))
+                held.append((n, heappop(stock[n])))
                 if not stock[n]:
                     have ^= 1 << n
                     mirror ^= 1 << (capacity - n)
             if not stock[short]:
                 have |= 1 << short
                 mirror |= 1 << (capacity - short)
-            stock[short].append(back[1])
-            stock[short].sort(reverse=True)
+            heappush(stock[short], back[1])
             gap += short - sum(pair)
         bins.append([i for _, i in held])
     return bins
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length): each text's UTF-8 bytes and one end byte, cut into pieces of `capacity` at most."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length("text") + F.lit(1)).cast("long").alias("size"))
-    sized = sized.where(F.col("size").isNotNull())
-    cutting = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))).alias("piece")
-    start = F.col("piece").cast("long") * capacity
-    return sized.select("doc_id", "size", cutting).select(
-        "doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("size") - start).cast("int").alias("length")
-    )
+@cache
+def tokenizer(path: str):
+    """The encoding, and for each id whether its bytes begin inside a character."""
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    inside = np.zeros(max(ranks.values()) + 1, bool)
+    for token, rank in ranks.items():
+        inside[rank] = 0x80 <= token[0] < 0xC0
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), inside
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """Packs docs(doc_id, text) into bins of `capacity` bytes by best-two-fit; a row for each piece of a document.
+
+def tokens_of(text: str, path: str = VOCABULARY) -> list[int]:
+    encoding, _ = tokenizer(path)
+    if len(text) < 1000 or not (cuts := [m.end() for m in BLANKS.finditer(text)]):
+        return encoding.encode_ordinary(text)
+    return [t for a, b in zip([0, *cuts], [*cuts, len(text)]) for t in encoding.encode_ordinary(text[a:b])]
+
+
+def cut_points(tokens: list[int], capacity: int, inside: np.ndarray) -> list[int]:
+    """Where pieces of at most `capacity` of the tokens and one end token begin; not inside a character if that can be."""
+    starts, at, n = [0], capacity, len(tokens) + 1
+    while at < n:
+        back = at
+        while at < n - 1 and back > starts[-1] and inside[tokens[back]]:
+            back -= 1
+        starts.append(back if back > starts[-1] else at)
+        at = starts[-1] + capacity
+    return starts
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, piece, start, length): each text's tokens and one end token, cut into pieces of `capacity` at most."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, inside = tokenizer(vocabulary)
+        for b in slices(batches, "text"):
+            rows = []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = tokens_of(text, vocabulary)
+                starts = cut_points(tokens, capacity, inside)
+                rows += [(d, k, s, e - s) for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(tokens) + 1]))]
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length"])
+
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, PIECES)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Packs docs(doc_id, text) into bins of `capacity` tokens by best-two-fit; a row for each piece of a document.
 
     bin_id; slot, its order in the bin; offset, where it begins in the bin; doc_id; piece, start and length, the part
-    of the document. A document's length is that of its text in UTF-8 and one end byte. Longer documents are cut into
-    pieces of `capacity` bytes and a rest; nothing is left out or shortened. Pieces are hashed over as many shards as
-    keep a shard near `shard` pieces, and each shard is packed by itself; only these narrow rows are shuffled.
+    of the document. A document is its tokens of `vocabulary` and one end token. Longer documents are cut into pieces of
+    `capacity` tokens, a few less where a character would be cut, and a rest; nothing is left out or shortened. Pieces
+    are hashed over as many shards as keep a shard near `shard` pieces, and each shard is packed by itself; only these
+    narrow rows are shuffled.
 
-    Null texts have nothing to pack and no row; an empty text is its end byte. Null ids, repeated rows and ties are
+    Null texts have nothing to pack and no row; an empty text is its end token. Null ids, repeated rows and ties are
     packed like any other, in order of (length, doc_id, piece). Further columns are ignored. An empty table: no rows.
     """
-    parts = cut(pieces(docs, capacity))
+    parts = cut(pieces(docs, capacity, vocabulary))
     shards = max(1, -(-parts.count() // shard))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

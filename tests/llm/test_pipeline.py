@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from lamina.llm import quality_rules, secret_scan, toxicity
-from lamina.llm.packing import CAPACITY, two_fit
+from lamina.llm.packing import CAPACITY, tokens_of, two_fit
 from lamina.llm.queries import ORACLES, QUERIES
 
 from . import edges
@@ -70,7 +70,7 @@ def test_stages(spark, corpus):
     assert {r.text for r in kept[3] if "[" not in r.text} <= {r.text for r in kept[2]}
     parts = []
     for r in kept[3]:
-        size = len(r.text.encode()) + 1
+        size = len(tokens_of(r.text)) + 1
         parts += [(r.doc_id, k, min(CAPACITY, size - k * CAPACITY)) for k in range(-(-size // CAPACITY))]
     parts.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1]))
     want = sorted(sorted((parts[i] for i in b), key=str) for b in two_fit([n for *_, n in parts], CAPACITY))
