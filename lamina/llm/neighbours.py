@@ -56,26 +56,32 @@ def scan(queries: np.ndarray, bound: np.ndarray, vectors: np.ndarray, epsilon: f
     d = queries.shape[1]
     middle = vectors.mean(axis=0, dtype=np.float64)
     q, x = (queries - middle).astype(np.float32), (vectors - middle).astype(np.float32)
-    loss = np.float32(SLACK) * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :])
-    total = np.zeros((len(q), len(x)), np.float32)
-    alive, at = np.ones(total.shape, bool), 0
+    squares = [(q * q), (x * x)]
+    alive, at = np.ones((len(q), len(x)), bool), 0
+    # Sums begin below zero by what float32 can lose.
+    low, high = (np.float32(-SLACK) * each.sum(axis=1) for each in squares)
+    total = low[:, None] + high[None, :]
     while at < d:
-        end = min(d, at + BLOCK)
-        total += squared(q[:, at:end], x[:, at:end])
-        at = end
+        block = slice(at, min(d, at + BLOCK))
+        product = q[:, block] @ x[:, block].T
+        product *= -2
+        product += squares[0][:, block].sum(axis=1)[:, None]
+        product += squares[1][:, block].sum(axis=1)[None, :]
+        total += product
+        at = block.stop
         limit = bound * (at / d * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else 1)
-        alive &= total - loss <= limit[:, None].astype(np.float32) * np.float32(1 + 1e-5)
-        if alive.mean() < 0.2:
+        alive &= total <= limit[:, None].astype(np.float32) * np.float32(1 + 1e-5)
+        if np.count_nonzero(alive) < 0.2 * alive.size:
             break
     i, j = np.nonzero(alive)
-    part, lost = total[i, j], loss[i, j]
+    part = total[i, j]
     while at < d and len(i):
-        end = min(d, at + BLOCK)
-        part = part + ((q[i, at:end] - x[j, at:end]) ** 2).sum(axis=1)
-        at = end
+        block = slice(at, min(d, at + BLOCK))
+        part = part + ((q[i, block] - x[j, block]) ** 2).sum(axis=1)
+        at = block.stop
         limit = bound[i] * (at / d * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else 1 + 1e-5)
-        left = part - lost <= limit
-        i, j, part, lost = i[left], j[left], part[left], lost[left]
+        left = part <= limit
+        i, j, part = i[left], j[left], part[left]
     exact = ((queries[i].astype(np.float64) - vectors[j]) ** 2).sum(axis=1)
     left = exact <= bound[i]
     return i[left], j[left], exact[left]
