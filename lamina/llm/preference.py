@@ -33,6 +33,11 @@ def pairs(turns: DataFrame) -> DataFrame:
     return each.join(reply, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(before, swapped).alias("rejected"))
 
 
+def escaped(text: Column) -> Column:
+    """Text without any mark of the format: "<|" becomes "<\\|" and "<\\" becomes "<\\\\", which can be undone."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def rendered(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")))
 
@@ -57,12 +62,13 @@ def format_pairs(compared: DataFrame) -> DataFrame:
     [start, end) character spans of the completion that are trained on: texts of assistant turns with their end mark,
     not their role line, nor other turns. Everything stays in the JVM; there is no shuffle.
 
-    A null conversation counts as empty, a null role or text as "". Equal conversations give two empty completions.
+    Roles and texts are escaped() first, so that marks which they hold don't end a turn or begin another. A null
+    conversation counts as empty, a null role or text as "". Equal conversations give two empty completions.
     Null ids, repeated rows and further columns: each row is formatted by itself. An empty table gives no rows.
     """
 
     def clean(c: str) -> Column:
-        plain = F.transform(c, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+        plain = F.transform(c, lambda t: F.struct(escaped(F.coalesce(t["role"], F.lit(""))).alias("role"), escaped(F.coalesce(t["text"], F.lit(""))).alias("text")))
         return F.coalesce(plain, F.slice(F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("text"))), 1, 0)).alias(c)
 
     rows = compared.select("pair_id", clean("chosen"), clean("rejected"))
@@ -88,7 +94,7 @@ def format_table(turns: DataFrame) -> DataFrame:
 
 
 #: DuckDB SQL for format_table() of the table conversations.
-SQL = """
+SQL = r"""
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), numbered AS (
@@ -106,7 +112,10 @@ WITH turns AS (
   FROM chosen c LEFT JOIN rejected r ON c.conv_id = r.conv_id AND c.n = r.n GROUP BY c.conv_id
 ), lines AS (
   SELECT s.side, s.conv_id, s.n, s.role, '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS line, s.n <= p.k AS shared
-  FROM (SELECT 'chosen' AS side, conv_id, n, role, text FROM chosen UNION ALL SELECT 'rejected', conv_id, n, role, text FROM rejected) s
+  FROM (
+    SELECT side, conv_id, n, replace(replace(role, '<\', '<\\'), '<|', '<\|') AS role, replace(replace(text, '<\', '<\\'), '<|', '<\|') AS text
+    FROM (SELECT 'chosen' AS side, conv_id, n, role, text FROM chosen UNION ALL SELECT 'rejected', conv_id, n, role, text FROM rejected) b
+  ) s
   JOIN prefix p ON s.conv_id = p.conv_id
 ), ends AS (
   SELECT *, sum(length(line)) OVER (PARTITION BY side, conv_id, shared ORDER BY n) AS stop FROM lines
