@@ -7,17 +7,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import cut
+
 #: Labelled URLs that the trees are fitted on, at most.
 LABELLED = 20_000
 TREES, DEPTH, RATE, CUTS, RIDGE = 60, 3, 0.2, 32, 1.0
 THRESHOLD = 0.5
-#: Host labels of known bad sites: the seed list that labels the table's URLs. The trees see no words of the URL.
-SEEDS = ("spam", "adult", "porn", "xxx", "casino", "malware", "phish", "warez")
+#: Words of known bad hosts: the seed list that labels the table's URLs. The trees see no words of the URL.
+SEEDS = ("spam", "adult", "porn", "xxx", "casino", "bets", "pills", "ads", "malware", "phish", "warez")
+#: Suffixes of which the table is broadcast, at most; with more it is joined by shuffle.
+NARROW = 100_000
 LEXICAL = ("length", "host_length", "host_parts", "host_hyphens", "longest_part", "depth", "digits", "entropy", "host_entropy", "parameters", "query_length", "fragment", "secure", "extension")
 SUFFIX = ("suffix_urls", "suffix_hosts")
+#: What Python computes; the other features are Spark's.
+ENTROPIES = ("entropy", "host_entropy")
 
 
 def host_of(url: Column) -> Column:
@@ -30,28 +37,39 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def entropy(codes: np.ndarray) -> float:
-    n = np.bincount(codes)
-    n = n[n > 0] / max(1, len(codes))
-    return float(-(n * np.log2(n)).sum())
-
-
-def lexical(url: str | None, host: str) -> list[float]:
-    """The LEXICAL features of a URL; of a null or empty one all zeros."""
-    if not url:
-        return [0.0] * len(LEXICAL)
-    rest, _, fragment = url.partition("#")
-    rest, _, query = rest.partition("?")
-    path = rest.partition("://")[2].partition("/")[2]
-    parts = [p for p in path.split("/") if p]
-    codes = np.frombuffer(url.encode("utf-8", "replace"), np.uint8)
-    digits = float(((codes >= 48) & (codes <= 57)).mean())
-    own = np.frombuffer(host.encode("utf-8", "replace"), np.uint8)
-    return [
-        len(url), len(host), host.count(".") + 1, host.count("-"), max(map(len, host.split("."))), len(parts), digits,
-        entropy(codes), entropy(own) if len(own) else 0.0, query.count("&") + 1 if query else 0, len(query), bool(fragment),
-        url[:5].lower() == "https", "." in parts[-1] if parts else 0,
-    ]
+def lexical(url: Column, host: Column) -> dict[str, Column]:
+    """The LEXICAL features of a URL but the ENTROPIES; of a null or empty one all zeros."""
+    count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    plain = F.substring_index(url, "#", 1)
+    before = F.substring_index(plain, "?", 1)
+    query = F.when(F.length(plain) > F.length(before), F.substring(plain, F.length(before) + 2, F.length(plain))).otherwise(F.lit(""))
+    rest = F.when(F.instr(before, "://") > 0, F.substring(before, F.instr(before, "://") + F.lit(3), F.length(before))).otherwise(F.lit(""))
+    path = F.when(F.instr(rest, "/") > 0, F.substring(rest, F.instr(rest, "/") + F.lit(1), F.length(rest))).otherwise(F.lit(""))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    found = {
+        "length": F.length(url), "host_length": F.length(host), "host_parts": count(host, ".") + 1, "host_hyphens": count(host, "-"),
+        "longest_part": F.array_max(F.transform(F.split(host, r"\."), lambda x: F.length(x))), "depth": F.size(parts),
+        "digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / F.octet_length(url),
+        "parameters": F.when(query != "", count(query, "&") + 1).otherwise(0), "query_length": F.length(query),
+        "fragment": F.length(url) > F.length(plain) + 1, "secure": F.lower(F.substring(url, 1, 5)) == "https",
+        "extension": F.coalesce(F.contains(F.try_element_at(parts, F.lit(-1)), F.lit(".")), F.lit(False)),
+    }
+    return {n: F.when(F.length(url) > 0, c.cast("double")).otherwise(0.0) for n, c in found.items()}
+
+
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Bits a byte of each text, 0 of null and empty ones."""
+    out = np.zeros(len(texts))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for at in range(0, len(texts), 4096):
+        ends = offsets[at : at + 4097]
+        sizes = np.diff(ends)
+        n = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + data[ends[0] : ends[-1]], minlength=len(sizes) * 256).reshape(-1, 256)
+        share = n / np.maximum(sizes, 1)[:, None]
+        out[at : at + 4096] = -(share * np.log2(np.where(n > 0, share, 1))).sum(axis=1)
+    return out
 
 
 @dataclass(frozen=True)
@@ -115,33 +133,39 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def seed_labels(pages: DataFrame) -> DataFrame:
-    """(url, label) of pages(url): 1 if a part of the host is or begins with a SEEDS word, up to a hyphen or digit; else 0."""
+    """(url, label) of pages(url): 1 if a SEEDS word stands in the host, between dots, hyphens and digits; else 0."""
     known = pages.where(F.col("url").isNotNull() & (F.col("url") != "")).select("url")
-    bad = host_of(F.col("url")).rlike(rf"(?:^|\.)(?:{'|'.join(SEEDS)})(?=[-.0-9]|$)")
+    bad = host_of(F.col("url")).rlike(rf"(?:^|[-.0-9])(?:{'|'.join(SEEDS)})(?=[-.0-9]|$)")
     return known.select("url", bad.cast("int").alias("label"))
 
 
 def described(pages: DataFrame) -> DataFrame:
-    """page_id, url, host and the SUFFIX columns: how many URLs and about how many hosts of all share its suffix (log)."""
+    """page_id, url, host, the LEXICAL columns but ENTROPIES and the SUFFIX ones: how many URLs and about how many hosts
+    of all share its suffix (log). The table of suffixes is broadcast if it is small, so popular ones skew nothing."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"))
-    rows = rows.withColumn("suffix", suffix_of(F.col("host")))
-    by = rows.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_urls"), F.log1p(F.approx_count_distinct("host", 0.02)).alias("suffix_hosts"))
-    return rows.join(by, "suffix").drop("suffix")
+    by = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.log1p(F.count("*")).alias("suffix_urls"), F.log1p(F.approx_count_distinct("host", 0.02)).alias("suffix_hosts"))
+    by = cut(by)
+    by = F.broadcast(by) if by.count() <= NARROW else by
+    rows = rows.withColumn("suffix", suffix_of(F.col("host"))).join(by, "suffix").drop("suffix")
+    return rows.select("page_id", "url", "host", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host")).items()], *SUFFIX)
 
 
 def features(batch: pa.RecordBatch) -> np.ndarray:
-    """Of rows (.., url, host, suffix_urls, suffix_hosts) with those names."""
-    url, host = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "host"))
-    own = np.array([lexical(u, h) for u, h in zip(url, host)], np.float64).reshape(len(url), len(LEXICAL))
-    more = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in SUFFIX]
-    return np.column_stack([own, *more])
+    """Of rows with the columns of described(), LEXICAL and SUFFIX in this order."""
+    column = lambda n: batch.column(batch.schema.get_field_index(n))
+    found = {"entropy": entropies(column("url")), "host_entropy": entropies(column("host"))}
+    return np.column_stack([found[n] if n in found else column(n).to_numpy(zero_copy_only=False) for n in (*LEXICAL, *SUFFIX)])
+
+
+#: What features() reads.
+INPUTS = ("host", *(n for n in LEXICAL if n not in ENTROPIES), *SUFFIX)
 
 
 def fit(rows: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Trees:
     """Trees from at most `bound` distinct labelled URLs, chosen by hash; of several labels for one the greatest holds."""
     known = labels.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("url"), "url").limit(bound)
-    marked = rows.join(known, "url").dropDuplicates(["url"]).select("url", "label", "host", *SUFFIX)
+    marked = rows.join(known, "url").dropDuplicates(["url"]).select("url", "label", *INPUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +192,7 @@ def judge(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bou
             p = trees.value.probability(features(b))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array(p < threshold)], ["page_id", "url", "bad", "keep"])
 
-    return rows.select("page_id", "url", "host", *SUFFIX).mapInArrow(run, "page_id long, url string, bad double, keep boolean")
+    return rows.select("page_id", "url", *INPUTS).mapInArrow(run, "page_id long, url string, bad double, keep boolean")
 
 
 def judge_table(pages: DataFrame) -> DataFrame:

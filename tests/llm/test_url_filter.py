@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import url_filter as u
@@ -17,12 +19,65 @@ def urls(n=1500, seed=0):
     return out
 
 
-def test_lexical():
-    f = dict(zip(u.LEXICAL, u.lexical("https://a-b.c.example.com/x/y.html?p=1&q=2#z", "a-b.c.example.com")))
-    assert f["length"] == 44 and f["host_parts"] == 4 and f["host_hyphens"] == 1 and f["depth"] == 2 and f["parameters"] == 2 and f["fragment"] and f["secure"] and f["extension"]
-    assert f["digits"] == pytest.approx(2 / 44)
-    assert u.entropy(np.array([1, 1, 2, 2])) == 1.0
-    assert len(u.lexical("https://" + "x" * 100_000, "x" * 100_000)) == len(u.LEXICAL) == len(u.lexical(None, ""))
+def entropy(text):
+    n = [text.encode().count(b) for b in set(text.encode())]
+    return -sum(k / sum(n) * math.log2(k / sum(n)) for k in n)
+
+
+def brute(url, host):
+    """The LEXICAL features, one URL at a time."""
+    if not url:
+        return [0.0] * len(u.LEXICAL)
+    rest, _, fragment = url.partition("#")
+    rest, _, query = rest.partition("?")
+    parts = [p for p in rest.partition("://")[2].partition("/")[2].split("/") if p]
+    codes = url.encode()
+    return [
+        len(url), len(host), host.count(".") + 1, host.count("-"), max(map(len, host.split("."))), len(parts), sum(48 <= c <= 57 for c in codes) / len(codes),
+        entropy(url), entropy(host) if host else 0.0, query.count("&") + 1 if query else 0, len(query), bool(fragment), url[:5].lower() == "https", "." in parts[-1] if parts else 0,
+    ]
+
+
+ODD = [
+    "https://a-b.c.example.com/x/y.html?p=1&q=2#z", "http://h", "http://h/", "http://h//a//b/", "no url", "x?y?z#a#b", "HTTPS://User@Ex.com:80/é/多.b?ü=1", "#", "?", "http://", "://", "http://h?a&b#",
+    "http://h/a?b=/c/d", "http://h#/a.b", "https://" + "x" * 100_000 + ".com/" + "1/" * 50_000, "", None, "http://a.b-c.d/ 1", "http://h/%20?&&",
+]
+
+
+def test_features_and_statistics_are_those_of_brute_force(spark):
+    links = ODD + [x for _, x, _ in urls(200)] + ["http://a.pop.org/1"] * 30 + [f"http://h{i}.pop.org/{i}" for i in range(300)]
+    pages = spark.createDataFrame([(i, x, "clash", 1) for i, x in enumerate(links)], "page_id long, url string, suffix string, length int")
+    rows = u.described(pages).orderBy("page_id").toPandas()
+    got = u.features(pa.RecordBatch.from_pandas(rows))
+    assert list(rows.page_id) == list(range(len(links)))
+    want = [brute(x, h) for x, h in zip(links, rows.host)]
+    assert np.allclose(got[:, : len(u.LEXICAL)].astype(float), np.array(want, float))
+    suffix = [".".join(h.split(".")[-2:]) for h in rows.host]
+    for i, s in enumerate(suffix):
+        assert got[i, -2] == pytest.approx(math.log1p(suffix.count(s)))
+        hosts = len({h for h, t in zip(rows.host, suffix) if t == s})
+        assert math.expm1(got[i, -1]) == pytest.approx(hosts, rel=0.1)
+
+
+@pytest.mark.parametrize("narrow", [0, 10**6])
+def test_many_suffixes_are_joined_without_broadcast(spark, monkeypatch, narrow):
+    monkeypatch.setattr(u, "NARROW", narrow)
+    pages = spark.createDataFrame(urls(300), "page_id long, url string, bad string")
+    rows = u.described(pages)
+    assert rows.count() == 300 and rows.selectExpr("sum(suffix_urls)").first()[0] > 0
+    if narrow:
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_hosts_held_out(spark):
+    """Trees fitted on some bad sites know the shape of others that they have never seen."""
+    pages = spark.createDataFrame(urls(2000), "page_id long, url string, bad string")
+    labels = u.seed_labels(pages)
+    seen = labels.where("hash(split_part(url, '/', 3)) % 2 = 0")
+    marked = {r.url: r.label for r in labels.collect()}
+    known = {r.url for r in seen.collect()}
+    got = [(marked[r.url], r.keep) for r in u.judge(pages, seen).collect() if r.url not in known]
+    assert len(got) > 500 and np.mean([keep == (not bad) for bad, keep in got]) > 0.95
 
 
 def test_trees_fit_what_trees_can():
