@@ -20,15 +20,16 @@ class Prompt(cmd.Cmd):
         self.engine, self.out = engine, out
 
     def default(self, line: str) -> bool:
-        """Plan and rows of a query, or what an INSERT did; errors are printed. End of input or exit leaves."""
+        """Plan, rows and statistics of a query, or what an INSERT did; errors are printed. End of input or exit leaves."""
         if line in ("EOF", "exit", "quit"):
             return True
         try:
             done = self.engine.execute(line)
             if isinstance(done, DataFrame):
                 self.out(self.engine.explain(line, "simple"))
-                rows = done.toArrow()
+                rows, statistics = self.engine.measure(line)
                 self.out(rows.to_pandas().to_string(index=False) if rows.num_rows else "(0 rows)")
+                self.out(f"({statistics})")
             else:
                 self.out(f"OK ({done.rows} rows inserted, {done.folder})" if done else "OK (0 rows inserted)")
         except (ValueError, PySparkException) as e:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,21 @@ NOTHING = "nothing"
 KINDS = {"signed": T.NumericType, "unsigned": T.NumericType, "float": T.NumericType, "bool": T.BooleanType, "str": T.StringType}
 
 
+@dataclass(frozen=True)
+class QueryStatistics:
+    """Parts of the query's tables, those read, their rows and bytes, rows of the result and seconds."""
+
+    parts: int
+    parts_read: int
+    rows_read: int
+    bytes_read: int
+    rows: int
+    seconds: float
+
+    def __str__(self) -> str:
+        return f"{self.rows} rows in {self.seconds:.3f} s; {self.parts_read} of {self.parts} parts, {self.rows_read} rows, {self.bytes_read} bytes"
+
+
 class Engine:
     """Tables under `root`.
 
@@ -124,6 +141,18 @@ class Engine:
     def collect(self, sql: str) -> pa.Table:
         return self.sql(sql).toArrow()
 
+    def measure(self, sql: str) -> tuple[pa.Table, QueryStatistics]:
+        """A query's rows and what it took."""
+        began = time.perf_counter()
+        df = self.sql(sql)
+        rows = df.toArrow()
+        seconds = time.perf_counter() - began
+        read = {tuple(f.rsplit("/", 3)[1:3]) for f in df.inputFiles()}
+        tables = {t for t in self.catalog.tables() if any(t == r[0] for r in read) or t.lower() in sql.lower()}
+        parts = [(t, p) for t in tables for p in self.table(t).parts()]
+        held = [p for t, p in parts if (t, p.folder) in read]
+        return rows, QueryStatistics(len(parts), len(held), sum(p.rows or 0 for p in held), sum(p.bytes for p in held), rows.num_rows, seconds)
+
     def explain(self, sql: str, mode: str = "formatted") -> str:
         """Spark's plan as text: simple, extended, cost or formatted."""
         df = self.sql(sql)

@@ -313,6 +313,23 @@ def test_huge_literals_are_errors_at_once(small, literal):
         assert small.sql(f"SELECT ts FROM wide WHERE f32_c < {literal}").count() == (0 if "-" in literal else 6)
 
 
+def test_query_statistics(many):
+    rows_, s = many.measure("SELECT ts FROM wide WHERE ts < 700")
+    assert (rows_.num_rows, s.rows, s.parts, s.parts_read, s.rows_read) == (700, 700, len(SIZES), 1, 700) and s.bytes_read > 0 and s.seconds > 0
+    _, s = many.measure("SELECT COUNT(ts) FROM wide WHERE ts < 0")
+    assert (s.rows, s.parts_read, s.rows_read, s.bytes_read) == (1, 0, 0, 0)
+
+
+def test_encoding_by_column(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    engine = Engine(spark, str(tmp_path))
+    engine.create_table(TableSchema.of("t", {"k": "I64", "v": "I64"}))
+    engine.insert("t", spark.range(5000).coalesce(1).selectExpr("id", "id % 7"), options={"parquet.enable.dictionary#k": "false"})
+    group = pq.ParquetFile(next((tmp_path / "t" / "part_00001").glob("*.parquet"))).metadata.row_group(0)
+    assert not any("DICTIONARY" in e for e in group.column(0).encodings) and any("DICTIONARY" in e for e in group.column(1).encodings)
+
+
 def test_delta_encoding(spark, tmp_path):
     import pyarrow.parquet as pq
 
@@ -378,7 +395,7 @@ def test_prompt(spark, tmp_path):
     prompt = Prompt(engine, said.append)
     for line in ("INSERT INTO t VALUES (1), (2)", "SELECT k FROM t WHERE k = 2", "SELECT k FROM t WHERE k = 3", "DELETE FROM t"):
         assert not prompt.onecmd(line)
-    assert said[0] == "OK (2 rows inserted, part_00001)" and "2" in said[2] and said[4] == "(0 rows)" and said[5].startswith("error:")
+    assert said[0] == "OK (2 rows inserted, part_00001)" and "2" in said[2] and said[3].startswith("(1 rows in") and said[5] == "(0 rows)" and said[7].startswith("error:")
     assert prompt.onecmd("EOF")
 
 
