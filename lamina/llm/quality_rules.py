@@ -172,15 +172,15 @@ def choose(features: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
     """{stratum: {rule: cutoff}} from all labelled documents; strata without a certified level are missing.
 
     A trial is a distinct labelled text of a stratum, so that copies aren't counted as independent; of its labels the
-    least holds. Half of the texts, by hash, give each level's cutoffs: those rates of its good ones
+    least holds. Half of the texts, by the MD5 of their least doc_id, give each level's cutoffs: those rates of its good ones
     are above them, rule by rule. The other half tests the levels, all rules together. Both are counted by Spark over
     all labels; the driver gets counts by stratum, rule and bin only.
     """
     names = RULES
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = features.where(~F.col("blank")).join(marks, "doc_id")
-    known = known.groupBy("stratum", "h").agg(F.min("quality").alias("quality"), *[F.min(n).alias(n) for n in names])
-    known = cut(known.withColumn("half", F.pmod(F.xxhash64("h", F.lit(9)), F.lit(2))))
+    known = known.groupBy("stratum", "h").agg(F.min("quality").alias("quality"), F.min("doc_id").alias("least"), *[F.min(n).alias(n) for n in names])
+    known = cut(known.withColumn("half", (F.substring(F.md5(F.col("least").cast("string")), 1, 1) >= "8").cast("int")))
     fit = known.where((F.col("half") == 0) & (F.col("quality") >= 1))
     bins = fit.select("stratum", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("bin")) for n in names])).alias("x"))
     counts: dict[tuple[str, str], dict[int, int]] = {}
@@ -222,7 +222,8 @@ def broken(cutoffs: dict[str, dict[str, int]], stratum: Column, blank: Column, v
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Each row of docs(doc_id, text, lang): doc_id, stratum, its share for each rule (thousandths), broken, keep.
+    """Each row of docs(doc_id, text, lang): doc_id, stratum, its share for each rule (thousandths), the rules that it
+    breaks, separated by commas, and keep.
 
     A document goes if a rule's share is over the cutoff that choose() certified for its language. A language whose
     labels can't certify any cutoff keeps all its documents. Null or blank texts break the rule "blank" and go. Null
@@ -234,7 +235,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     cutoffs = choose(features, labels, **options)
     names = RULES
     lost = broken(cutoffs, F.col("stratum"), F.col("blank"), {n: F.col(n) for n in names})
-    return features.withColumn("broken", lost).select("doc_id", "stratum", *names, "broken", (F.size("broken") == 0).alias("keep"))
+    return features.withColumn("broken", F.array_join(lost, ",")).select("doc_id", "stratum", *names, "broken", (F.col("broken") == "").alias("keep"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -248,3 +249,62 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
     lost = broken(cutoffs, F.coalesce(F.col("lang"), F.lit(NONE)), blank, {n: F.col(f"{name}.{n}") for n in RULES})
     return docs.withColumn(name, share_column(F.col("text"))).where(F.size(lost) == 0).drop(name)
+
+
+def sql(risk: float = RISK, error: float = ERROR, tails: tuple[float, ...] = TAILS) -> str:
+    """DuckDB SQL for judge() of the tables documents and labels."""
+    kept = {"symbol": r"[^#$%&*|!<>{}\[\]=~^\\_@+`]", "digit": "[^0-9]", "upper": "[^A-Z]", "letter": "[^A-Za-z]", "blanks": r"[^ \t\n\r\f\v]"}
+    counts = ", ".join(f"length(regexp_replace(t, '{pattern}', '', 'g')) AS n_{name}" for name, pattern in kept.items())
+    values = ", ".join(f"('{n}', {n})" for n in RULES)
+    ladder = ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(tails))
+    return rf"""
+WITH texts AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, text, coalesce(text, '') AS t, coalesce(lang, '{NONE}') AS stratum FROM documents
+), counted AS (
+  SELECT *, {counts}, list_filter(regexp_split_to_array(t, '[ 	
+]+'), lambda w: w <> '') AS words FROM texts
+), features AS (
+  SELECT doc_id, stratum, text, n_blanks = strlen(t) AS blank,
+    CAST(n_symbol * {BINS} // greatest(strlen(t) - n_blanks, 1) AS INTEGER) AS symbol,
+    CAST(n_upper * {BINS} // greatest(n_letter, 1) AS INTEGER) AS upper,
+    CAST(n_digit * {BINS} // greatest(strlen(t) - n_blanks, 1) AS INTEGER) AS digit,
+    CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) * {BINS} // greatest(len(words), 1) AS INTEGER) AS repeat
+  FROM counted
+), marks AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1
+), known AS (
+  SELECT stratum, min(quality) >= 1 AS good, md5(CAST(min(doc_id) AS VARCHAR))[1] >= '8' AS held, {", ".join(f"min({n}) AS {n}" for n in RULES)}
+  FROM features JOIN marks USING (doc_id) WHERE NOT blank GROUP BY stratum, text
+), fit AS (
+  SELECT stratum, rule, bin FROM known, LATERAL (VALUES {values}) v(rule, bin) WHERE good AND NOT held
+), bins AS (
+  SELECT stratum, rule, bin, sum(count(*)) OVER (PARTITION BY stratum, rule) AS total,
+    sum(count(*)) OVER (PARTITION BY stratum, rule ORDER BY bin DESC) - count(*) AS above
+  FROM fit GROUP BY stratum, rule, bin
+), cutoffs AS (
+  SELECT stratum, rule, level, min(bin) AS cutoff FROM bins, (VALUES {ladder}) l(level, tail) WHERE above <= tail * total GROUP BY ALL
+), levels AS (
+  SELECT k.stratum, k.good, min(c.level) AS level
+  FROM (SELECT row_number() OVER () AS id, * FROM known WHERE held) k, LATERAL (VALUES {values}) v(rule, bin)
+  LEFT JOIN cutoffs c ON c.stratum = k.stratum AND c.rule = v.rule AND v.bin > c.cutoff GROUP BY k.id, k.stratum, k.good
+), tested AS (
+  SELECT s.stratum, l.level, count(*) FILTER (WHERE k.good) AS n, count(*) FILTER (WHERE k.good AND k.level <= l.level) AS lost,
+    count(*) FILTER (WHERE NOT k.good AND k.level <= l.level) AS caught
+  FROM (SELECT DISTINCT stratum FROM fit) s CROSS JOIN (VALUES {ladder}) l(level, tail) LEFT JOIN levels k ON k.stratum = s.stratum GROUP BY ALL
+), bounds AS (
+  SELECT *, coalesce((
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))) FROM range(0, lost + 1) r(i)
+  ), 1) AS p FROM tested
+), failed AS (
+  SELECT stratum, min(level) FILTER (WHERE n = 0 OR p > {error} / greatest(1, (SELECT count(DISTINCT stratum) FROM fit))) AS first FROM bounds GROUP BY stratum
+), passed AS (
+  SELECT b.* FROM bounds b JOIN failed f ON b.stratum = f.stratum AND (f.first IS NULL OR b.level < f.first)
+), chosen AS (
+  SELECT stratum, min(level) AS level
+  FROM (SELECT *, max(caught) OVER (PARTITION BY stratum) AS most FROM passed) WHERE caught >= 0.99 * most GROUP BY stratum
+), limits AS (
+  SELECT stratum, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{n}') AS {n}" for n in RULES)} FROM cutoffs JOIN chosen USING (stratum, level) GROUP BY stratum
+)
+SELECT f.doc_id, f.stratum, {", ".join(f"f.{n}" for n in RULES)}, concat_ws(',', CASE WHEN f.blank THEN 'blank' END, {", ".join(f"CASE WHEN f.{n} > l.{n} THEN '{n}' END" for n in RULES)}) AS broken, broken = '' AS keep
+FROM features f LEFT JOIN limits l ON l.stratum = f.stratum
+"""

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_preference_pairs": preference.SQL}
+ORACLES: dict[str, str] = {"op8_preference_pairs": preference.SQL, "op9_quality_rules": quality_rules.sql()}

@@ -1,7 +1,10 @@
+import hashlib
 import math
 import random
 from fractions import Fraction
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -115,7 +118,7 @@ def test_choose_counts_like_brute_force(spark):
     docs, labels = corpus(spark)
     features = q.measured(docs).toPandas()
     marks = labels.select("doc_id", "quality").toPandas().set_index("doc_id")["quality"]
-    half = {r.doc_id: r.half for r in docs.selectExpr("doc_id", "pmod(xxhash64(xxhash64(text), 9), 2) as half").collect()}
+    half = {i: int(hashlib.md5(str(i).encode()).hexdigest()[0] >= "8") for i in features.doc_id}
     features["good"], features["half"] = features.doc_id.map(marks) >= 1, features.doc_id.map(half)
     want, strata = {}, sorted(features.stratum.unique())
     for s in strata:
@@ -130,6 +133,36 @@ def test_choose_counts_like_brute_force(spark):
     assert q.choose(q.measured(docs), labels) == want and list(want) == ["en"]
 
 
+def agree(spark, docs, labels, folder):
+    docs.write.parquet(f"{folder}/documents")
+    labels.write.parquet(f"{folder}/labels")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}/*.parquet'")
+    want = con.sql(q.sql())
+    got = q.judge(docs, labels)
+    assert got.columns == want.columns
+    return sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_sql_agrees(spark, tmp_path):
+    docs, labels = corpus(spark)
+    got, want = agree(spark, docs.union(docs.limit(50)), labels.union(labels.where("doc_id < 9").selectExpr("doc_id", "1 - quality", "toxic", "label", "text")), tmp_path)
+    assert got == want and {g[6] for g in got} >= {"", "symbol"}
+
+
+def test_sql_agrees_on_odd_rows(spark, tmp_path):
+    got, want = agree(spark, edges.documents(spark), edges.labels(spark), tmp_path)
+    assert got == want and len(got) == len(edges.DOCS)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no driver tables")
+def test_sql_agrees_on_the_drivers_tables(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got, want = agree(spark, docs, labels, tmp_path)
+    assert got == want and any("symbol" in g[6] for g in got)
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     got = q.judge(docs, edges.labels(spark))
