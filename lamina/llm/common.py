@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -29,6 +31,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def temporary(prefix: str) -> str:
+    """A new local folder that goes with this process; for local masters only."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
 
@@ -39,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if path is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(path or temporary("checkpoint-"))
     return df.checkpoint(eager=True)
 
 

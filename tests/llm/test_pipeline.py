@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -80,6 +81,28 @@ def test_stages(spark, corpus):
     assert sorted(sorted(b, key=str) for b in got.values()) == want
 
 
+def test_stages_bear_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns: what each stage says of them."""
+    edges.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = edges.documents(spark).cache()
+    ids = lambda df: sorted((-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect()))
+    want = {"quality_rules": [-1, 1, 1, 5, 6, 7, 8], "toxicity_grammar": ids(docs), "simhash_forest": [-1, -1, 1, 2, 3, 4, 5, 6, 7, 8], "multipart_secrets": ids(docs)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and ids(got) == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == {None, 1, 3, 4, 5, 6, 7, 8}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_only_the_last_result_stays(spark, corpus):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("pipeline-*/*"))
+    assert corpus_pipeline.run(spark, corpus[0]).count() > 0
+    assert [x.name for x in set(root.glob("pipeline-*/*")) - before] == ["4-best_two_fit"]
+
+
 def test_empty_corpus(spark, tmp_path):
     edges.documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     edges.labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
