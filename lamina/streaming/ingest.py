@@ -27,6 +27,6 @@ def stream_from(engine: Engine, name: str, resumed: bool = False) -> DataFrame:
     table = engine.table(name)
     parts = table._all()
     missing = {r for p in parts for r in p.replaces} - {p.id for p in parts}
-    if missing and not resumed:
-        raise ValueError(f"{len(missing)} parts of {name} were compacted and deleted; a new stream would miss their rows")
+    if (missing or any(p.lost for p in parts)) and not resumed:
+        raise ValueError(f"parts of {name} were compacted and deleted; a new stream would miss their rows")
     return engine.spark.readStream.schema(table.schema.spark).parquet(table.files.where(f"{name}/part_*"))

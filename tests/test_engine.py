@@ -8,7 +8,7 @@ import pytest
 from lamina import Engine, TableSchema
 from lamina.plans.dialect import DialectError
 from lamina.sources import parts as parts_module
-from lamina.sources.parts import MANIFEST, visible
+from lamina.sources.parts import MANIFEST, Part, visible
 
 WIDE = TableSchema.of(
     "wide",
@@ -193,6 +193,22 @@ def test_compacted_rows_stay_replaced(spark, tmp_path):
     assert sorted(r.k for r in reader.collect()) == [1, 2], "a reader in flight"
     table.files.delete("t/part_00001")
     assert rows(Engine(spark, str(tmp_path)), "SELECT k FROM t") == [(1,), (2,), (3,)]
+    engine.insert("t", [(4,)])
+    assert [(sorted(p.replaces), p.lost) for p in engine.compact("t")] == [([2, 3, 4, 5, 6], True)]
+    assert rows(Engine(spark, str(tmp_path)), "SELECT k FROM t") == [(1,), (2,), (3,), (4,)]
+
+
+def test_many_parts_are_sorted_out_fast():
+    import time
+
+    batch = lambda *n: {"s": [list(n)]}
+    parts = [Part(i, batches=batch(i, i)) for i in range(1, 60_001)]
+    parts += [Part(60_001 + k, replaces=frozenset(range(k * 100 + 1, k * 100 + 101)), batches=batch(k * 100 + 1, k * 100 + 100), merged=True) for k in range(300)]
+    parts += [Part(70_000, batches=batch(50_000, 50_000)), Part(70_001, batches=batch(77, 77)), Part(70_002, batches=batch(70_002, 70_002))]
+    began = time.process_time()
+    got = visible(parts)
+    assert time.process_time() - began < 5
+    assert [p.id for p in got] == [*range(30_001, 60_001), *range(60_001, 60_301), 70_002]
 
 
 def test_compaction_takes_small_parts_first(spark, tmp_path):
