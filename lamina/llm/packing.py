@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
@@ -85,16 +85,26 @@ def two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 @cache
-def tokenizer(path: str):
-    """The encoding, and for each id whether its bytes begin inside a character."""
-    import tiktoken
-
+def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    inside = np.zeros(max(ranks.values()) + 1, bool)
-    for token, rank in ranks.items():
-        inside[rank] = 0x80 <= token[0] < 0xC0
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), inside
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+_built: dict[str, tuple] = {}
+
+
+def tokenizer(path: str, ranks: Callable[[], dict[bytes, int]] | None = None):
+    """The encoding, and for each id whether its bytes begin inside a character; made once in a process, from ranks() or
+    the file."""
+    if path not in _built:
+        import tiktoken
+
+        known = ranks() if ranks else ranks_of(path)
+        inside = np.zeros(max(known.values()) + 1, bool)
+        for token, rank in known.items():
+            inside[rank] = 0x80 <= token[0] < 0xC0
+        _built[path] = (tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}), inside)
+    return _built[path]
 
 
 def tokens_of(text: str, path: str = VOCABULARY) -> list[int]:
@@ -117,10 +127,14 @@ def cut_points(tokens: list[int], capacity: int, inside: np.ndarray) -> list[int
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length): each text's tokens and one end token, cut into pieces of `capacity` at most."""
+    """(doc_id, piece, start, length): each text's tokens and one end token, cut into pieces of `capacity` at most.
+
+    The driver alone reads the vocabulary's file.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, inside = tokenizer(vocabulary)
+        _, inside = tokenizer(vocabulary, lambda: shared.value)
         for b in slices(batches, "text"):
             rows = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
