@@ -182,6 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: Vectors, bound: int = LABEL
     rows = rows.sort_values("doc_id")
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(np.float64) if len(rows) else np.zeros((0, POOLED))
     y, held = (rows["label"].to_numpy() >= 1).astype(np.float64), rows["part"].to_numpy() == 0
+    if len(y) and len(set(y)) == 1:  # nothing to tell apart
+        d, odds = x.shape[1], np.log(len(y) + 1)
+        return Network(np.zeros(d), np.ones(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(odds if y[0] else -odds))
     return calibrated(train(x[~held], y[~held]), x[held], y[held])
 
 
@@ -189,13 +192,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, b
     """Each row of docs(doc_id, text): doc_id, quality, its calibrated probability, and keep, from `threshold` on.
 
     Word vectors come from all documents: each of VOCABULARY hash buckets sums the sparse random index vectors of the
-    words around it. A document is pooled
-    from its words' vectors (see Vectors.pool). The network is fitted
-    on the bounded sample of labelled documents, one text for each id.
+    words around it. A document is pooled from its words' vectors (see Vectors.pool). The network is fitted on the
+    bounded sample of labelled documents, one text for each id; of several labels for one the least holds.
 
     Null texts and those without a token have quality 0 and are not kept. Null ids are classified but not trained on;
     repeated rows are each classified. Whole texts are read. Further columns are ignored. An empty table gives no
-    rows; without labels every text with tokens has quality 1/2.
+    rows; without labels every text with tokens has quality 1/2, with n labels of one class alone (n + 1) / (n + 2)
+    for that class.
     """
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, fit(docs, labels, vectors, bound)))

@@ -437,7 +437,10 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
-    """The texts of arrays of ids; null of null."""
+    """The texts of arrays of ids, row by row, however long: null of null, "" of an empty array and of control ids alone.
+
+    Bytes that make up no character become the replacement character. The model file is read by the driver alone.
+    """
     v = Vocabulary.load(model)
 
     def run(rows: pa.Array) -> pa.Array:

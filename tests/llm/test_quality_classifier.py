@@ -81,6 +81,14 @@ def test_sums_do_not_depend_on_partitions(spark):
     assert (a.unit == b.unit).all() and (a.weight == b.weight).all()
 
 
+def test_labels_of_one_class(spark):
+    docs, labels = corpus(spark, 200)
+    for q in (0, 1):
+        one = labels.where(f"quality = {q}")
+        n = one.count()
+        assert {round(r.quality, 9) for r in c.classify(docs, one).collect()} == {round(abs(1 - q - (n + 1) / (n + 2)), 9)}
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     got = c.classify(docs, edges.labels(spark))
