@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -141,34 +141,47 @@ def findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return linked(cut(candidates(docs)), reach).drop("h")
 
 
+def reported_in(text: str | None, reach: int = REACH) -> list[tuple[str, int, int]]:
+    """(type, start, end) of what linked() reports in one text, by place: the same interval join by bisection.
+
+    Parts don't overlap, so their starts and their ends are in the same order.
+    """
+    parts = sorted(candidates_in(text), key=lambda p: p[3])
+    sides = {side: [p for p in parts if (p[1] == SECRET) == side] for side in (True, False)}
+    ends = {side: ([p[3] for p in each], [p[4] for p in each]) for side, each in sides.items()}
+    out = []
+    for name, kind, strong, start, end, _ in parts:
+        first, last = ends[kind != SECRET]
+        if strong or bisect_right(first, end + reach) > bisect_left(last, start - reach):
+            out.append((name, start, end))
+    return out
+
+
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """docs, every row and column, with each reported part in text replaced by [type]; n_chars, if there, is renewed.
 
-    Texts without reported parts, null and empty ones too, stay as they are. Repeated rows and rows of null ids are each
-    redacted; long parts are struck out whole. Further columns keep their names and values. An empty table stays empty.
+    What is reported in a text follows from that text alone, so it is scanned, linked (reported_in) and struck out in
+    one pass, and no text is shuffled. Texts without reported parts, null and empty ones too, stay as they are. Repeated
+    rows and rows of null ids are each redacted; long parts are struck out whole. Further columns keep their names and
+    values. An empty table stays empty.
     """
-    found = linked(cut(candidates(docs)), reach)
-    spans = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
-    spans = cut(spans.select(F.col("doc_id").alias("f_doc_id"), F.col("h").alias("f_h"), "spans"))
-    h, at = fresh(docs, "h"), fresh(docs, "spans")
-    spans = spans.withColumnRenamed("spans", at)
+    struck = fresh(docs, "struck")
 
-    def strike(texts: pa.Array, parts: pa.Array) -> pa.Array:
+    def strike(texts: pa.Array) -> pa.Array:
+        """The new text, null where nothing is reported."""
         out = []
-        for text, cuts in zip(texts.to_pylist(), parts.to_pylist()):
-            pieces, done = [], 0
-            for c in cuts or []:
-                pieces += [text[done : c["start"]], f"[{c['type']}]"]
-                done = c["end"]
-            out.append(None if text is None else "".join(pieces) + text[done:])
+        for batch in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t"):
+            for text in batch.column(0).to_pylist():
+                pieces, done = [], 0
+                for name, start, end in reported_in(text, reach):
+                    pieces += [text[done:start], f"[{name}]"]
+                    done = end
+                out.append("".join(pieces) + text[done:] if pieces else None)
         return pa.array(out, pa.string())
 
-    rows = docs.withColumn(h, F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(spans["f_doc_id"]) & (rows[h] == spans["f_h"])
-    rows = rows.join(spans, same, "left")
-    struck = F.arrow_udf(strike, "string")(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at))
-    rows = rows.withColumn("text", F.when(F.col(at).isNotNull(), struck).otherwise(F.col("text")))
+    rows = docs.withColumn(struck, F.arrow_udf(strike, "string")(F.col("text")))
+    changed = {"text": F.coalesce(F.col(struck), F.col("text"))}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col(at).isNotNull(), length).otherwise(F.col("n_chars")))
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
+        length = F.length(F.col(struck)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.coalesce(length, F.col("n_chars"))
+    return rows.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -87,6 +87,10 @@ def test_links_are_those_of_brute_force(spark):
     df = edges.documents(spark, [(d, t, "en", "s", 1) for d, t in docs])
     got = [(r.doc_id, r.type, r.kind, r.strong, r.start, r.end, r.linked, r.digest) for r in s.findings(df).collect()]
     assert set(got) == brute(docs) and len(got) == len(set(got)) > 200
+    alone = {(d, *p) for d, t in docs for p in s.reported_in(t)}
+    assert alone == {(g[0], g[1], g[4], g[5]) for g in got}
+    plan = s.redact(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 
 
 def test_redaction(spark):
