@@ -404,13 +404,23 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 
 def keep(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns."""
+    """The rows of docs that near_duplicates() keeps, with all their columns, whatever these are called.
+
+    Null texts stay, each row of them; of rows repeated in doc_id and text one stays, whatever their other columns: that
+    of the least hash over its columns but those that hold maps. An empty table stays empty. Texts are shuffled once,
+    by a hash of doc_id and text, which serves the join and the choice among repeated rows.
+    """
     best = grouped(docs, leaf).where("root is not null").groupBy("root").agg(F.min(order()).alias("best"))
-    best = cut(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.h").alias("best_h")))
-    h, n = fresh(docs, "h"), fresh(docs, "n")
-    texts = docs.where(F.col("text").isNotNull()).withColumn(h, F.xxhash64("text"))
-    same = texts["doc_id"].cast("long").eqNullSafe(best["best_id"]) & (texts[h] == best["best_h"])
-    # Repeated rows are equal in doc_id and text: one of them stays.
-    once = Window.partitionBy(F.col("doc_id").cast("long"), h).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = texts.join(best, same, "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(h, n)
+    h, key, n, best_id, best_h, best_key = (fresh(docs, c) for c in ("h", "key", "n", "best_id", "best_h", "best_key"))
+    best = best.select(F.col("best.doc_id").alias(best_id), F.col("best.h").alias(best_h))
+    best = cut(best.withColumn(best_key, F.xxhash64(best_id, best_h)))
+    own = F.col("doc_id").cast("long")
+    texts = docs.where(F.col("text").isNotNull()).withColumn(h, F.xxhash64("text")).withColumn(key, F.xxhash64(own, F.col(h)))
+    # One key for both; the rest as bits that must not differ, so that it isn't made a part of the join's partitioning.
+    apart = own.bitwiseXOR(F.col(best_id)).bitwiseOR(F.col(h).bitwiseXOR(F.col(best_h)))
+    missing = F.when(own.isNull() & F.col(best_id).isNull(), F.col(h).bitwiseXOR(F.col(best_h)))
+    same = (F.col(key) == F.col(best_key)) & (F.coalesce(apart, missing) == 0)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    once = Window.partitionBy(F.col(key), own, F.col(h)).orderBy(F.xxhash64(*hashed))
+    kept = texts.join(best, same, "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(h, key, n)
     return kept.unionByName(docs.where(F.col("text").isNull()))

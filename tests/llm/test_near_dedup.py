@@ -160,6 +160,15 @@ def test_large_groups_are_dealt_to_blocks(spark):
     assert one == many and len(set(one.values())) < len(one)
 
 
+def test_repeated_rows_maps_and_one_shuffle_of_texts(spark):
+    docs = edges.documents(spark).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    docs = docs.union(docs.where("doc_id = 1")).withColumn("source", F.monotonically_increasing_id().cast("string"))
+    kept = nd.keep(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.columns == docs.columns and sum(r.doc_id == 1 for r in kept.collect()) == 1
+    assert sum("Exchange hashpartitioning" in line for line in plan.split("\n")) <= 2
+
+
 def test_short_documents_that_share_a_line_stay(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
