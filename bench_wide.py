@@ -66,7 +66,10 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.files.maxPartitionBytes", "64m")
+        # A split is measured with all its columns, of which the queries read two or three.
+        .config("spark.sql.files.maxPartitionBytes", "512m")
+        # A million groups fit the first-level map of a partial aggregation.
+        .config("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
