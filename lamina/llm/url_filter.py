@@ -15,7 +15,8 @@ from lamina.llm.common import cut
 
 #: Labelled URLs that the trees are fitted on, at most.
 LABELLED = 20_000
-TREES, DEPTH, RATE, CUTS, RIDGE = 60, 3, 0.2, 32, 1.0
+TREES, DEPTH, RATE, CUTS, RIDGE, SHARE = 60, 3, 0.2, 32, 1.0, 0.3
+SEED = 6
 THRESHOLD = 0.5
 #: Words of known bad hosts: the seed list that labels the table's URLs. The trees see no words of the URL.
 SEEDS = ("spam", "adult", "porn", "xxx", "casino", "bets", "pills", "ads", "malware", "phish", "warez")
@@ -92,8 +93,12 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Histogram boosting of the logistic loss, both classes of equal weight. A class without examples: log-odds only."""
+def boost(x: np.ndarray, y: np.ndarray, share: float = SHARE) -> Trees:
+    """Histogram boosting of the logistic loss, both classes of equal weight. A class without examples: log-odds only.
+
+    Each tree splits by a random `share` of the features, so that where several tell the classes apart all are used,
+    not the first alone: sites that share only some of them are known too.
+    """
     n, d = x.shape if len(x) else (0, 1)
     inner, leaves = (1 << DEPTH) - 1, 1 << DEPTH
     good, bad = float((y == 0).sum()), float((y == 1).sum())
@@ -104,7 +109,9 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 1)[1:-1], method="lower")) for j in range(d)]
     bins = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     score, features, limits, values = np.zeros(n), [], [], []
+    rng = np.random.default_rng(SEED)
     for _ in range(TREES):
+        some = np.sort(rng.permutation(d)[: max(1, round(share * d))])
         p = 1 / (1 + np.exp(-score))
         g, h = w * (p - y), w * p * (1 - p)
         f, c, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
@@ -112,7 +119,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
             first, width = (1 << level) - 1, 1 << level
             node = at - first
             best = np.full(width, 1e-9)
-            for j in range(d):
+            for j in some:
                 size = len(cuts[j]) + 1
                 key = node * size + bins[:, j]
                 sums = [np.bincount(key, weights=s, minlength=width * size).reshape(width, size).cumsum(axis=1) for s in (g, h)]
