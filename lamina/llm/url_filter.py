@@ -96,7 +96,7 @@ class Trees:
 def boost(x: np.ndarray, y: np.ndarray, share: float = SHARE) -> Trees:
     """Histogram boosting of the logistic loss, both classes of equal weight. A class without examples: log-odds only.
 
-    Each tree splits by a random `share` of the features, so that where several tell the classes apart all are used,
+    Each tree splits by a random `share` of the features, DEPTH at least, so that where several tell the classes apart all are used,
     not the first alone: sites that share only some of them are known too.
     """
     n, d = x.shape if len(x) else (0, 1)
@@ -111,7 +111,7 @@ def boost(x: np.ndarray, y: np.ndarray, share: float = SHARE) -> Trees:
     score, features, limits, values = np.zeros(n), [], [], []
     rng = np.random.default_rng(SEED)
     for _ in range(TREES):
-        some = np.sort(rng.permutation(d)[: max(1, round(share * d))])
+        some = np.sort(rng.permutation(d)[: max(DEPTH, round(share * d))])
         p = 1 / (1 + np.exp(-score))
         g, h = w * (p - y), w * p * (1 - p)
         f, c, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
