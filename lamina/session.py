@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -129,11 +130,17 @@ class Engine:
         decides which parts its view has.
         """
         names = [n for n in self.catalog.tables() if n.lower() in sql.lower()]
-        for n in names:
-            table = self.table(n)
-            table.files.make(f"{n}/{NOTHING}")
-            self.spark.read.schema(table.schema.spark).parquet(table.files.where(f"{n}/{NOTHING}")).createOrReplaceTempView(n)
-        where = filters(self.spark.sql(sql), {n: n for n in names}) if names else {}
+        where: dict[str, object] = {}
+        try:
+            for n in names:
+                self.catalog.files.make(f"{n}/{NOTHING}")
+        except Py4JJavaError:  # a store that can only be read: all parts are
+            pass
+        else:
+            for n in names:
+                empty = self.spark.read.schema(self.table(n).schema.spark).parquet(self.catalog.files.where(f"{n}/{NOTHING}"))
+                empty.createOrReplaceTempView(n)
+            where = filters(self.spark.sql(sql), {n: n for n in names}) if names else {}
         for n in names:
             self.table(n).scan(where=where.get(n)).createOrReplaceTempView(n)
         return self.spark.sql(sql)
