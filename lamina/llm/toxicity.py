@@ -25,6 +25,9 @@ WINDOW = 200
 #: A lone listed word is as good as a verdict if the labels show, at 95 %, that this is right in SURE of such documents.
 SURE = 0.8
 
+#: Learned words are in so much of a language's toxic documents, unless they explain the rest. Hashes that tell copies.
+COMMON, SIGNS = 0.1, 4
+
 INSULTS = (
     "idiot idiots moron morons loser losers scum trash clown clowns stupid pathetic worthless disgusting imbecile dumbass bastard asshole "
     "retard scumbag vermin idiota imbécil estúpido estúpida imbécile connard salope abruti arschloch dummkopf vollidiot abschaum"
@@ -263,8 +266,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     Each text counts once for each of its words and of their stems of 4 to 7 letters. An entry is taken if at least
     99 % of its documents are toxic and, in some language, so many are as chance() asks for and 1 % of the language's
     toxic ones at least, near copies counting about once. Of these cover() takes those that explain a language's toxic
-    documents, not the words that copies of one of them share besides; and all that are in 5 % of them are taken, of
-    those that begin with one another the commonest. Without a column `lang` all documents are of one language.
+    documents, not the words that copies of one of them share besides; and all that are in COMMON of them, near copies
+    counting about once, are taken, of those that begin with one another the commonest. Without a column `lang` all documents are of one language.
 
     A lone insult weighs THRESHOLD instead of LONE where the labels show that one is enough: binomially, at 95 %, more
     than SURE of the documents with just one are toxic.
@@ -277,30 +280,32 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Lexicon:
     entries = known.select("key", (F.col("label") >= 1).alias("toxic"), "lang", F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")).alias("words"))
     stems = [F.transform("words", partial(stem, n)) for n in STEMS]
     each = F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(w, F.lit("$"))), *stems))
-    #: Near copies mostly agree in the least hash of their words.
-    least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(2)]
-    entries = entries.select("key", "toxic", "lang", each.alias("entries"), least[0].alias("one"), least[1].alias("two"))
-    total = {r.lang: (r.toxic or 0, r.docs) for r in entries.groupBy("lang").agg(F.sum(F.col("toxic").cast("int")).alias("toxic"), F.count("*").alias("docs")).collect()}
-    toxic, everything = (sum(t[i] for t in total.values()) for i in range(2))
+    #: Near copies mostly agree in the least hashes of their words, by which they count about once.
+    signs = [f"sign{k}" for k in range(SIGNS)]
+    least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(c) for k, c in enumerate(signs)]
+    entries = entries.select("key", "toxic", "lang", each.alias("entries"), *least)
+    apart = F.least(*[F.size(F.collect_set(F.when(F.col("toxic"), F.col(c)))) for c in signs])
+    total = {r.lang: r for r in entries.groupBy("lang").agg(F.sum(F.col("toxic").cast("int")).alias("toxic"), F.count("*").alias("docs"), apart.alias("apart")).collect()}
+    toxic, everything = sum(r.toxic for r in total.values()), sum(r.docs for r in total.values())
     if not toxic:
         return Lexicon()
-    bad = lambda c: F.size(F.collect_set(F.when(F.col("toxic"), F.col(c))))
-    by = entries.select("toxic", "lang", "one", "two", F.explode("entries").alias("entry")).where(F.length("entry") > 3)
-    by = by.groupBy("lang", "entry").agg(F.sum(F.col("toxic").cast("int")).alias("bad"), F.count("*").alias("docs"), F.least(bad("one"), bad("two")).alias("apart"))
-    by = by.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"), F.max("apart").alias("apart"))
+    by = entries.select("toxic", "lang", *signs, F.explode("entries").alias("entry")).where(F.length("entry") > 3)
+    by = by.groupBy("lang", "entry").agg(F.sum(F.col("toxic").cast("int")).alias("bad"), F.count("*").alias("docs"), apart.alias("apart"))
+    by = by.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("docs").alias("docs"), F.collect_list(F.when(F.col("apart") >= 5, F.struct("lang", "apart"))).alias("in"))
     by = cut(by.where((F.col("docs") >= 5) & (F.col("bad") > 0)))
     enough = chance(toxic / everything, by.count())
-    found = by.where((F.col("bad") >= 0.99 * F.col("docs")) & (F.col("apart") >= enough)).select("entry")
-    where = entries.where("toxic").select("key", "lang", F.explode("entries").alias("entry")).join(F.broadcast(found), "entry")
+    found = by.where((F.col("bad") >= 0.99 * F.col("docs")) & F.exists("in", lambda x: x["apart"] >= enough)).select("entry", "in")
+    copies = {(x["lang"], r.entry): x["apart"] for r in found.collect() for x in r["in"]}
+    where = entries.where("toxic").select("key", "lang", F.explode("entries").alias("entry")).join(F.broadcast(found.select("entry")), "entry")
     holding: dict[str, dict[str, set[int]]] = {}
     for r in where.collect():
         holding.setdefault(r.lang, {}).setdefault(r.entry, set()).add(r.key)
     taken: list[str] = []
     for name in sorted(holding):
-        held, least_of = holding[name], total[name][0]
-        taken += [e for e in cover(held, max(enough, 0.01 * least_of)) if e not in taken]
+        held, of = holding[name], total[name]
+        taken += [e for e in cover(held, max(enough, 0.01 * of.toxic)) if e not in taken]
         for e in sorted(held, key=lambda e: (-len(held[e]), -len(e), e)):
-            if len(held[e]) >= max(enough, 0.05 * least_of) and not any(begin_alike(e, t) for t in taken):
+            if copies.get((name, e), 0) >= max(enough, COMMON * of.apart) and not any(begin_alike(e, t) for t in taken):
                 taken.append(e)
     lexicon = Lexicon(frozenset(t[:-1] for t in taken if t.endswith("$")), frozenset(t for t in taken if not t.endswith("$")))
     symbols = lexicon.symbols()
