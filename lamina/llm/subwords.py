@@ -404,6 +404,13 @@ def encode_texts(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAM
     return sorted(out, key=lambda x: x[:2])
 
 
+def list_array(rows: tuple[np.ndarray | None, ...]) -> pa.Array:
+    """Arrays of ids, or None, as one Arrow column, without an object for each id."""
+    ends = np.cumsum([0 if r is None else len(r) for r in rows])
+    flat = np.concatenate([np.zeros(0, np.int32), *[r for r in rows if r is not None]])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
     """`samples` distinct segmentations of each row of docs(doc_id, text): doc_id, sample, ids, log_prob, inclusion, exact.
 
@@ -430,7 +437,8 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
             if some:
                 keys = np.array([doc[i] or 0 for i in some], np.int64)
                 rows += [(doc[some[i]], *x) for i, *x in encode_texts([text[i] for i in some], keys, v, samples)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            columns = [list_array(c) if f.name == "ids" else pa.array(list(c), f.type) for c, f in zip(zip(*rows), out)]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("exact", pa.bool_())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

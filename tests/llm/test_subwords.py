@@ -94,6 +94,11 @@ def test_batches_and_neighbours_do_not_matter(vocabulary):
     assert plain(together)[0][2:] == [(0, *x[1:]) for x in plain(together) if x[0] == 3][0][2:]
 
 
+def test_list_array():
+    rows = (np.array([1, 2], np.int32), None, np.zeros(0, np.int32), np.array([3], np.int32))
+    assert s.list_array(rows).to_pylist() == [[1, 2], None, [], [3]] and s.list_array((None,)).to_pylist() == [None] and s.list_array(()).to_pylist() == []
+
+
 def test_table(spark):
     docs = edges.documents(spark)
     got = s.encode(docs)
