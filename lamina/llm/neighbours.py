@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, sum_vectors
+from lamina.llm.common import cut, mix, sum_vectors
 
 K = 10
 #: Rotated columns are scanned in blocks of BLOCK; a candidate is abandoned after d of D columns if its partial
@@ -22,7 +22,10 @@ EPSILON = 2.1
 TARGET = 0.97
 TUNING = 400
 ROUNDS = 4
-QUERIES = 16384
+#: The query of this operator searches the neighbours of the rows whose id is divisible by this, in all rows.
+EVERY = 50
+#: Bytes of the vectors, held ones and queries each, that a task is given.
+HELD = 1 << 25
 SLICE = 512
 SEED = 3
 #: Relative error of float32 distances from a common point, with a margin.
@@ -192,64 +195,107 @@ def centroids(rows: DataFrame, d: int, lists: int, rounds: int = ROUNDS) -> np.n
     return c
 
 
-def tuned(rows: DataFrame, c: np.ndarray, k: int, target: float) -> float:
+def tuned(rows: DataFrame, queries: DataFrame, c: np.ndarray, k: int, target: float) -> float:
     """Up to what share of its bound a query must look beyond its own cell for the target recall.
 
-    From TUNING vectors, by hash, searched exactly in all vectors: for each of their true neighbours, the margin to its
+    From TUNING queries, by hash, searched exactly in all rows: for each of their true neighbours, the margin to its
     cell over the query's bound, its k-th distance in the own list. Each quarter of the queries by bound, from dense to
     sparse regions, gets the target. At 1 no neighbour is missed, whatever the data.
     """
-    some = rows.orderBy(F.xxhash64("rid", F.lit(SEED + 1)), "rid").limit(TUNING).select("rid", "v").collect()
+    some = queries.orderBy(F.xxhash64("v", F.lit(SEED + 1)), "rid").limit(TUNING).select("rid", "v").collect()
+    if not some:
+        return 1.0
     q, ids = np.stack([np.frombuffer(r.v, np.float32) for r in some]), np.array([r.rid for r in some])
     known = rows.sparkSession.sparkContext.broadcast((q, ids, c))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of each query and kind in all batches together."""
         q, ids, c = known.value
         own, far = margins(q, c)
+        best, margin = np.full((2, len(q), k), np.inf), np.zeros((2, len(q), k))
         for b in batches:
             rid, x = b.column(0).to_numpy(), matrix(b.column(1))
             home = squared(x, c).argmin(axis=1)
-            dist = squared(q, x).astype(np.float64)
+            dist = np.maximum(squared(q, x).astype(np.float64), 0)
             dist[ids[:, None] == rid[None, :]] = np.inf
             inside = np.where(home[None, :] == own[:, None], dist, np.inf)
             for kind, each in enumerate((dist, inside)):
-                i, j = np.repeat(np.arange(len(q)), min(k, len(x))), np.argsort(each, axis=1)[:, :k].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), kind)), pa.array(np.maximum(each[i, j], 0)), pa.array(far[i, home[j]])], ["q", "kind", "dist", "margin"])
-
-    found = rows.select("rid", "v").mapInArrow(lambda b: search(sliced(b)), "q long, kind long, dist double, margin double").where("dist < double('infinity')")
+                at = np.flatnonzero((each < best[kind].max(axis=1)[:, None]).any(axis=1))
+                both = np.concatenate([best[kind][at], each[at]], axis=1)
+                apart = np.concatenate([margin[kind][at], far[at][:, home]], axis=1)
+                least = np.argpartition(both, k - 1, axis=1)[:, :k]
+                best[kind][at], margin[kind][at] = (np.take_along_axis(y, least, axis=1) for y in (both, apart))
+        kind, i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(kind), pa.array(best[kind, i, j]), pa.array(margin[kind, i, j])], ["q", "kind", "dist", "margin"])
+
+    found = rows.select("rid", "v").mapInArrow(lambda b: search(sliced(b)), "q long, kind long, dist double, margin double")
     best = found.groupBy("q", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "margin"))), 1, k).alias("best")).collect()
     inside = {r.q: math.sqrt(r.best[-1].dist) for r in best if r.kind == 1 and len(r.best) == k}
-    queries = sorted((inside[r.q], [x.margin / max(inside[r.q], 1e-30) for x in r.best]) for r in best if r.kind == 0 and r.q in inside)
+    ratios = sorted((inside[r.q], [x.margin / max(inside[r.q], 1e-30) for x in r.best]) for r in best if r.kind == 0 and r.q in inside)
     reach = 0.0
-    for part in np.array_split(np.arange(len(queries)), 4):
+    for part in np.array_split(np.arange(len(ratios)), 4):
         if len(part):
-            ratios = np.concatenate([queries[i][1] for i in part])
-            reach = max(reach, float(np.quantile(ratios, target, method="higher")))
-    return min(1.0, max(0.0, reach)) if queries else 1.0
+            reach = max(reach, float(np.quantile(np.concatenate([ratios[i][1] for i in part]), target, method="higher")))
+    return min(1.0, max(0.0, reach)) if ratios else 1.0
+
 
+def dealt(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, number of groups) of each list: groups of lists of `most` rows together, larger lists in several."""
+    first, parts, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), -1, 0
+    for i, size in enumerate(sizes.tolist()):
+        if size > room:
+            at, room, parts[i] = at + 1, most, max(1, math.ceil(size / most))
+        first[i] = at
+        at, room = at + int(parts[i]) - 1, room - size if parts[i] == 1 else 0
+    return first, parts
 
-def knn(vectors: DataFrame, k: int = K, target: float = TARGET) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the k nearest other rows of each row of vectors(vec_id, embedding).
+
+def closest(q: np.ndarray, own: np.ndarray, x: np.ndarray, rid: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, squared distance) of the k nearest of x to each query but the row itself, fewer if there are fewer.
+
+    own: the queries' rid. Ties go to the lower id.
+    """
+    middle = x.mean(axis=0, dtype=np.float64)
+    inner, found = (x - middle).astype(np.float32), []
+    high = (inner * inner).sum(axis=1).max()
+    for at in range(0, len(q), SLICE):
+        some = (q[at : at + SLICE] - middle).astype(np.float32)
+        dist = squared(some, inner)
+        dist[own[at : at + SLICE, None] == rid[None, :]] = np.inf
+        # As many more as may be nearer than float32 says, so that the exact order decides, ties included.
+        limit = np.partition(dist, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] * (1 + 1e-5) + 2 * SLACK * ((some * some).sum(axis=1) + high)
+        i, j = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        exact = ((q[at + i].astype(np.float64) - x[j]) ** 2).sum(axis=1)
+        best = nearest(i, ids[j], exact, k)
+        found.append((at + i[best], j[best], exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def knn(vectors: DataFrame, k: int = K, target: float = TARGET, every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the k nearest other rows, among all, of each row of vectors(vec_id,
+    embedding) whose vec_id is divisible by `every`; at 1 of all rows.
 
     Vectors, less the mean of all, are rotated at random and put into about sqrt(N) / 4 lists by k-means over all of
-    them. Each row's bound is the distance of its k-th neighbour in its own list; it then probes the lists whose cells
+    them. Each query's bound is the distance of its k-th neighbour in its own list; it then probes the lists whose cells
     are nearer than `reach` times its bound (see tuned), few in dense regions and as many as it takes in sparse ones,
     and scan() abandons candidates whose partial distance over a few blocks of columns already shows, by a test at
-    EPSILON, that they are over the bound. Distances given are exact.
+    EPSILON, that they are over the bound. Distances given are exact. A task holds a group of lists, or a part of a
+    large one, of HELD bytes, and gets each query once, whatever the number of lists that it probes there.
 
     Rows without a usable vector (see prepared) have no neighbours and are nobody's. Equal vectors are neighbours at
-    distance 0, repeated rows too; ties go to the lower vec_id, null ids last. Null ids are carried along. Further
-    columns are ignored. An empty table gives no rows; a table of fewer than k + 1 rows gives all pairs.
+    distance 0, repeated rows too; ties go to the lower vec_id, null ids last. Null ids are carried along, and divisible
+    by 1 only. Further columns are ignored. An empty table gives no rows; a table of fewer than k + 1 rows gives all
+    pairs.
     """
     spark = vectors.sparkSession
     schema = "rid long, vec_id long, neighbour_id long, dist double"
-    names = ["rid", "vec_id", "neighbour_id", "dist"]
     rows, d = prepared(vectors)
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "vec_id long, neighbour_id long, rank int, distance double")
+    asks = F.lit(True) if every == 1 else F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     c = centroids(rows, d, max(1, math.ceil(math.sqrt(n) / 4)))
-    reach = tuned(rows, c, k, target)
+    reach = tuned(rows, rows.where(asks), c, k, target)
     known = spark.sparkContext.broadcast(c)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,72 +303,97 @@ def knn(vectors: DataFrame, k: int = K, target: float = TARGET) -> DataFrame:
             home = squared(matrix(b.column(2)), known.value).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *b.columns], ["list", "rid", "vec_id", "v"])
 
-    def within(key: tuple, rows: pa.Table) -> pa.Table:
-        """Each row with its bound and its k nearest in the own list, as bytes."""
-        ids, x = ids_of(rows.column("vec_id")), matrix(rows.column("v"))
-        inner = (x - x.mean(axis=0, dtype=np.float64)).astype(np.float32)
-        keep, bounds, near = min(k, len(x) - 1), [], []
-        for at in range(0, len(x), SLICE):
-            dist = squared(inner[at : at + SLICE], inner)
-            m = len(dist)
-            dist[np.arange(m), at + np.arange(m)] = np.inf
-            # As many more as may be nearer than float32 says, so that the exact order decides, ties included.
-            size = (inner[at : at + SLICE] ** 2).sum(axis=1)
-            if keep < 1:
-                bounds += [math.inf] * m
-                near += [(b"", b"")] * m
-                continue
-            limit = np.partition(dist, keep - 1, axis=1)[:, keep - 1] * (1 + 1e-5) + 2 * SLACK * (size + (inner * inner).sum(axis=1).max())
-            i, j = np.nonzero(dist <= limit[:, None])
-            exact = ((x[at + i].astype(np.float64) - x[j]) ** 2).sum(axis=1)
-            best = nearest(i, ids[j], exact, keep)
-            i, j, exact = i[best].reshape(m, keep), j[best].reshape(m, keep), exact[best].reshape(m, keep)
-            bounds += (exact[:, -1] if keep == k else np.full(m, np.inf)).tolist()
-            near += [(ids[o].tobytes(), e.tobytes()) for o, e in zip(j, exact)]
-        one, two = zip(*near)
-        return pa.table({**{c: rows.column(c) for c in ("list", "rid", "vec_id", "v")}, "bound": pa.array(bounds, pa.float64()), "ids": pa.array(one, pa.binary()), "dists": pa.array(two, pa.binary())})
-
-    homes = rows.select("rid", "vec_id", "v").mapInArrow(assign, "list int, rid long, vec_id long, v binary")
-    homes = cut(homes.groupBy("list").applyInArrow(within, "list int, rid long, vec_id long, v binary, bound double, ids binary, dists binary"))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count = [len(x) // 8 for x in b.column(2).to_pylist()]
-            other, dist = (np.frombuffer(b"".join(b.column(i).to_pylist()), t) for i, t in ((2, np.int64), (3, np.float64)))
-            at = pa.array(np.repeat(np.arange(b.num_rows), count))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), nullable(other), pa.array(dist)], names)
+    homes = cut(rows.select("rid", "vec_id", "v").mapInArrow(assign, "list int, rid long, vec_id long, v binary"))
+    sizes, asking = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+    for r in homes.groupBy("list").agg(F.count("*").alias("n"), F.sum(asks.cast("long")).alias("q")).collect():
+        sizes[r.list], asking[r.list] = r.n, r.q
+    most = max(1, HELD // (4 * d))
+    first, parts = dealt(sizes, min(most, max(2048, math.ceil(n / 24))))
+    #: How many groups of queries each group of lists meets, so that each has at most about `most` of them.
+    mine = math.ceil(max(1, np.bincount(first, weights=asking).max()) / most)
+    others = math.ceil(max(1, asking.sum()) / most)
+
+    def held(salts: int) -> DataFrame:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches):
+                home, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
+                group = first[home] + (mix(rid.astype(np.uint64)) % parts[home].astype(np.uint64)).astype(np.int64)
+                for salt in range(salts):
+                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(len(rid), salt)), *b.columns], names)
 
-    near = homes.select("rid", "vec_id", "ids", "dists").mapInArrow(own, schema)
-    salts = max(1, math.ceil(n / len(c) / QUERIES))
+        names = ["group", "salt", "list", "rid", "vec_id", "v"]
+        return homes.mapInArrow(place, "group long, salt long, list int, rid long, vec_id long, v binary")
+
+    def answer(asked: pa.Table, i: np.ndarray, other: np.ndarray, dist: np.ndarray) -> pa.Table:
+        at = pa.array(i)
+        return pa.table({"rid": asked.column("rid").take(at), "vec_id": asked.column("vec_id").take(at), "neighbour_id": nullable(other), "dist": pa.array(dist)})
+
+    def by_list(table: pa.Table) -> list[tuple[int, np.ndarray]]:
+        home = table.column("list").to_numpy()
+        order = np.argsort(home, kind="stable")
+        return [(int(home[at[0]]), at) for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(at)]
+
+    def within(asked: pa.Table, there: pa.Table) -> pa.Table:
+        """The k nearest of each query in its own list."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and there.num_rows:
+            q, own, x, rid, ids = matrix(asked.column("v")), asked.column("rid").to_numpy(), matrix(there.column("v")), there.column("rid").to_numpy(), ids_of(there.column("vec_id"))
+            lists = dict(by_list(there))
+            for home, ask in by_list(asked):
+                for at in range(0, len(lists.get(home, ())), 4096):
+                    some = lists[home][at : at + 4096]
+                    i, j, dist = closest(q[ask], own[ask], x[some], rid[some], ids[some], k)
+                    found.append((ask[i], ids[some[j]], dist))
+        return answer(asked, *(np.concatenate(c) for c in zip(*found)))
+
+    def beyond(home: np.ndarray, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether each query probes each list but its own."""
+        _, far = margins(x, known.value, home)
+        # With fewer than k rows in the own list there is no bound; reach may be 0.
+        wide = np.where(np.isinf(bound), np.inf, reach * np.sqrt(np.where(np.isinf(bound), 0, bound)))
+        return (far <= wide[:, None]) & (np.arange(far.shape[1])[None, :] != home[:, None])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each further list to probe."""
+        """Each query for each group that has a list to probe."""
+        of = np.zeros((len(first), int((first + parts).max())), np.float32)
+        for i in range(len(first)):
+            of[i, first[i] : first[i] + parts[i]] = 1
         for b in sliced(batches):
-            home = b.column(0).to_numpy()
-            _, far = margins(matrix(b.column(3)), known.value, home)
-            i, j = np.nonzero((far <= reach * np.sqrt(b.column(4).to_numpy())[:, None]) & (np.arange(far.shape[1])[None, :] != home[:, None]))
+            i, group = np.nonzero(beyond(b.column(0).to_numpy(), matrix(b.column(3)), b.column(4).to_numpy()).astype(np.float32) @ of)
             t = b.take(pa.array(i))
-            salt = pa.array((t.column(1).to_numpy() % salts).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), salt, *t.columns[1:]], ["list", "salt", "rid", "vec_id", "v", "bound"])
-
-    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids, x = ids_of(held.column("vec_id")), matrix(held.column("v")) if held.num_rows else None
-        bound, found = asked.column("bound").to_numpy(), []
-        if x is not None and asked.num_rows:
-            q = matrix(asked.column("v"))
-            for at in range(0, len(q), SLICE):
-                for part in range(0, len(x), 2048):
-                    i, j, dist = scan(q[at : at + SLICE], bound[at : at + SLICE], x[part : part + 2048])
-                    best = nearest(i, ids[part + j], dist, k)
-                    found.append((at + i[best], ids[part + j[best]], dist[best]))
-        i, other, dist = [np.concatenate(c) for c in zip(*found)] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        at = pa.array(i)
-        return pa.table({"rid": asked.column("rid").take(at), "vec_id": asked.column("vec_id").take(at), "neighbour_id": nullable(other), "dist": pa.array(dist)})
+            salt = (mix(t.column(1).to_numpy().astype(np.uint64)) % np.uint64(others)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(salt), *t.columns], ["group", "salt", "list", "rid", "vec_id", "v", "bound"])
+
+    def probe(asked: pa.Table, there: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and there.num_rows:
+            q, home, bound, x, ids = matrix(asked.column("v")), asked.column("list").to_numpy(), asked.column("bound").to_numpy(), matrix(there.column("v")), ids_of(there.column("vec_id"))
+            lists = [(each, x[at], ids[at]) for each, at in by_list(there)]
+            for s in range(0, len(q), SLICE):
+                part = slice(s, s + SLICE)
+                probes = beyond(home[part], q[part], bound[part])
+                for each, y, other in lists:
+                    ask = s + np.flatnonzero(probes[:, each])
+                    for at in range(0, len(y) if len(ask) else 0, 2048):
+                        i, j, dist = scan(q[ask], bound[ask], y[at : at + 2048])
+                        best = nearest(i, other[at + j], dist, k)
+                        found.append((ask[i[best]], other[at + j[best]], dist[best]))
+        i, other, dist = (np.concatenate(c) for c in zip(*found))
+        best = nearest(i, other, dist, k)
+        return answer(asked, i[best], other[best], dist[best])
 
-    asked = homes.select("list", "rid", "vec_id", "v", "bound").mapInArrow(spread, "list int, salt int, rid long, vec_id long, v binary, bound double").groupBy("list", "salt")
-    held = homes.select("list", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).groupBy("list", "salt")
-    far = asked.cogroup(held).applyInArrow(probe, schema)
     entry = F.struct("dist", F.col("neighbour_id").isNull().alias("missing"), "neighbour_id")
-    best = near.unionByName(far).groupBy("rid", "vec_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
+    top = F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best")
+    queries = homes.where(asks)
+    at_home = spark.createDataFrame([(i, f, p) for i, (f, p) in enumerate(zip(first.tolist(), parts.tolist()))], "list int, first long, parts long")
+    own = queries.join(F.broadcast(at_home), "list").withColumn("group", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(mine))).select("group", "salt", "list", "rid", "vec_id", "v")
+    near = own.groupBy("group", "salt").cogroup(held(mine).groupBy("group", "salt")).applyInArrow(within, schema)
+    bound = F.when(F.size("best") == k, F.element_at("best", k)["dist"]).otherwise(F.lit(math.inf))
+    known_best = cut(queries.join(near.groupBy("rid").agg(top), "rid", "left").select("list", "rid", "vec_id", "v", F.coalesce(bound, F.lit(math.inf)).alias("bound"), "best"))
+    asked = known_best.select("list", "rid", "vec_id", "v", "bound").mapInArrow(spread, "group long, salt long, list int, rid long, vec_id long, v binary, bound double")
+    far = asked.groupBy("group", "salt").cogroup(held(others).groupBy("group", "salt")).applyInArrow(probe, schema)
+    near = known_best.select("rid", "vec_id", F.explode("best").alias("x")).select("rid", "vec_id", "x.neighbour_id", "x.dist")
+    best = near.unionByName(far).groupBy("rid", "vec_id").agg(top)
     flat = best.select("vec_id", F.posexplode("best").alias("at", "x"))
     return flat.select("vec_id", "x.neighbour_id", (F.col("at") + 1).alias("rank"), F.sqrt("x.dist").alias("distance"))

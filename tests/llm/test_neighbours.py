@@ -49,6 +49,27 @@ def test_recall_of_far_clusters_and_of_sparse_regions(spark):
     assert recall(got, x) >= 0.95 and recall(got, x, range(2000, 2500)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+def test_queries_are_the_rows_of_divisible_ids(spark, n, monkeypatch):
+    """Against all rows; some lists are larger than what a task holds and some queries have lists of their own."""
+    monkeypatch.setattr(nb, "HELD", 128 * 4 * 200)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(n // 2, 16)) * 0.1, r.normal(size=(n // 2, 16)) * 3]).astype(np.float32)
+    got = nb.knn(frame(spark, [*enumerate(x), (None, x[0])]), every=10).toPandas()
+    asked = range(0, n, 10)
+    assert sorted(got.vec_id.unique()) == list(asked) and (got.groupby("vec_id").size() == nb.K).all()
+    assert recall(got, x, asked) >= 0.95 - 0.1 / len(asked)
+    far = got.neighbour_id.notna()
+    dist = np.sqrt(((x[got.vec_id[far]].astype(float) - x[got.neighbour_id[far].astype(int)]) ** 2).sum(axis=1))
+    assert np.allclose(got["distance"][far], dist, atol=1e-4) and (got.vec_id != got.neighbour_id).all()
+
+
+def test_lists_are_dealt_to_groups():
+    sizes = np.array([3, 4, 0, 25, 2, 9, 1, 30])
+    first, parts = nb.dealt(sizes, 10)
+    assert parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 3] and first.tolist() == [0, 0, 0, 1, 4, 5, 5, 6]
+
+
 def test_margins_bound_distances():
     r = np.random.default_rng(2)
     c, x, y = (r.normal(size=(n, 8)) for n in (12, 50, 400))
