@@ -29,6 +29,8 @@ CLIMB = 8
 #: Rows of a branch, and word sets of a group, that one task takes; larger ones are dealt to blocks, two to a task.
 MOST = 1 << 18
 GROUP = 8192
+#: Fingerprints that are compared at once, each with each: as many distances as the cache holds.
+DOWN, ACROSS = 128, 512
 #: Tables of up to so many rows, of a few numbers each, are broadcast.
 NARROW = 100_000
 SEED = 4
@@ -100,8 +102,8 @@ def word_weights(docs: DataFrame) -> Broadcast:
 
 
 def fingerprinted(docs: DataFrame, weights: Broadcast) -> DataFrame:
-    """(doc_id, h, rid, fp, ws): a hash of the text, a row number, the fingerprint, null for null texts, and a hash of
-    the set of words. Checkpointed."""
+    """(doc_id, h, rid, fp, ws, weight): a hash of the text, a row number, the fingerprint, null for null texts, a hash
+    of the set of words, and its weight. Checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -117,10 +119,11 @@ def fingerprinted(docs: DataFrame, weights: Broadcast) -> DataFrame:
                 own = np.stack([mix(h[blank].astype(np.uint64) + np.uint64(k)) for k in range(WORDS)], axis=1)
             fps[blank] = np.ascontiguousarray(own).view(np.uint8)
             values = [f.tobytes() if there else None for there, f in zip(pc.is_valid(texts).to_pylist(), fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary()), pa.array(ws.view(np.int64))], ["doc_id", "h", "fp", "ws"])
+            total = np.bincount(at, weights=weights.value[bucket(hashes)], minlength=len(texts)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary()), pa.array(ws.view(np.int64)), pa.array(total)], ["doc_id", "h", "fp", "ws", "weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    found = rows.mapInArrow(run, "doc_id long, h long, fp binary, ws long")
+    found = rows.mapInArrow(run, "doc_id long, h long, fp binary, ws long, weight float")
     return cut(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -142,14 +145,30 @@ def permutation(trie: int) -> np.ndarray:
     return np.random.default_rng([SEED, trie]).permutation(BITS)
 
 
-def links(fps: np.ndarray, prefix: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def leading(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The given bits, 64 at most, of each of fps (n x WORDS), the first of them the highest of a 64-bit number."""
+    out, one = np.zeros(len(fps), np.uint64), np.empty(len(fps), np.uint64)
+    words = [np.ascontiguousarray(fps[:, k]) for k in range(WORDS)]
+    for at, bit in enumerate(bits.tolist()):
+        # Bytes are in memory's order, bits in unpackbits' order.
+        np.right_shift(words[bit // 64], np.uint64(bit % 64 // 8 * 8 + 7 - bit % 8), out=one)
+        np.bitwise_and(one, np.uint64(1), out=one)
+        np.left_shift(one, np.uint64(63 - at), out=one)
+        np.bitwise_or(out, one, out=out)
+    return out
+
+
+def links(fps: np.ndarray, prefix: np.ndarray, limit: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of rows that connect what is connected by pairs of one prefix at most `limit` bits apart, and no more.
 
     fps: n x WORDS, in trie order. Neighbours in the trie, which share the longest prefixes, are compared first; then
-    all pairs of a prefix but those of blocks that are in one group already, which could connect nothing new.
+    all pairs of a prefix but those of blocks that are in one group already, which could connect nothing new. Of a pair
+    all words but the last are compared first; few pairs are left then. low and high: the least and greatest weight of a
+    row's word sets; pairs of which none can be ALIKE, since one weighs too much, need not be connected.
     """
     n = len(fps)
-    parent = np.arange(n)
+    low, high = (np.ones(n), np.ones(n)) if low is None else (low, high)
+    parent, touched = list(range(n)), np.zeros(n, bool)
     out = []
 
     def root(i: int) -> int:
@@ -163,30 +182,59 @@ def links(fps: np.ndarray, prefix: np.ndarray, limit: int) -> list[tuple[int, in
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((i, j))
+        touched[a] = touched[b] = True
 
     for step in (1, 2, 3):
-        close = np.bitwise_count(fps[step:] ^ fps[:-step]).sum(axis=1) <= limit
-        at = np.flatnonzero(close & (prefix[step:] == prefix[:-step]))
+        apart = sum(np.bitwise_count(fps[step:, k] ^ fps[:-step, k]).astype(np.int16) for k in range(WORDS))
+        at = np.flatnonzero((apart <= limit) & (prefix[step:] == prefix[:-step]))
         union(at, at + step)
     edges = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])).tolist() + [n]
+    space = [np.empty(DOWN * ACROSS, t) for t in (np.uint64, np.uint8, np.uint8, bool)]
     for s, e in zip(edges, edges[1:]):
         if e - s < 2:
             continue
-        members = np.arange(s, e)
-        roots = np.array([root(i) for i in members.tolist()])
-        members = members[np.argsort(roots, kind="stable")]
-        blocks = [members[i : i + 512] for i in range(0, len(members), 512)]
-        for x, a in enumerate(blocks):
-            for b in blocks[x:]:
-                if len({root(i) for i in a.tolist()} | {root(i) for i in b.tolist()}) == 1:
-                    continue
-                apart = np.zeros((len(a), len(b)), np.uint16)
-                for k in range(WORDS):
-                    apart += np.bitwise_count(fps[a, k][:, None] ^ fps[b, k][None, :])
-                i, j = np.nonzero(apart <= limit)
-                if b is a:
-                    i, j = i[i < j], j[i < j]
-                union(a[i], b[j])
+        members = roots = np.arange(s, e)
+        large = np.zeros(e - s, np.int64)
+        if np.count_nonzero(touched[s:e]) >= DOWN:
+            roots = np.array([root(i) for i in range(s, e)])
+            _, group, size = np.unique(roots, return_inverse=True, return_counts=True)
+            large = np.where(size >= DOWN, np.arange(1, len(size) + 1), 0)[group]
+        # Groups that fill blocks are apart, the rest is together; each by weight.
+        order = np.lexsort((low[members], large))
+        members, roots, large = members[order], roots[order], large[order]
+        light, heavy = low[members], high[members]
+        words = [fps[members, k] for k in range(WORDS)]
+        begins = np.flatnonzero(np.concatenate([[True], large[1:] != large[:-1]])).tolist()
+        spans = [(t, u, np.maximum.accumulate(heavy[t:u])) for t, u in zip(begins, [*begins[1:], e - s])]
+        fresh = len(out)
+        for p, (t, u, _) in enumerate(spans):
+            for x in range(t, u, DOWN):
+                down = slice(x, min(u, x + DOWN))
+                least, most = ALIKE * light[x] * (1 - 1e-5), heavy[down].max() / ALIKE * (1 + 1e-5)
+                for q in range(p, len(spans)):
+                    first, last, heaviest = spans[q]
+                    start = x if q == p else first + int(np.searchsorted(heaviest, least))
+                    stop = first + int(np.searchsorted(light[first:last], most, side="right"))
+                    for y in range(start, stop, ACROSS):
+                        across = slice(y, min(stop, y + ACROSS))
+                        if (roots[down] == roots[x]).all() and (roots[across] == roots[x]).all():
+                            continue
+                        shape = down.stop - x, across.stop - y
+                        differ, count, apart, hit = (b[: shape[0] * shape[1]].reshape(shape) for b in space)
+                        for k in range(WORDS - 1):
+                            np.bitwise_xor(words[k][down, None], words[k][None, across], out=differ)
+                            np.bitwise_count(differ, out=count if k else apart)
+                            if k:
+                                np.add(apart, count, out=apart)
+                        at = np.flatnonzero(np.less_equal(apart, limit, out=hit))
+                        i, j, sofar = at // shape[1] + x, at % shape[1] + y, apart.reshape(-1)[at]
+                        new = (i < j) & (roots[i] != roots[j])
+                        i, j, sofar = i[new], j[new], sofar[new]
+                        close = sofar.astype(np.int64) + np.bitwise_count(words[-1][i] ^ words[-1][j]) <= limit
+                        union(members[i[close]], members[j[close]])
+                if len(out) - fresh >= DOWN:
+                    fresh = len(out)
+                    roots = np.array([root(i) for i in members.tolist()])
     return out
 
 
@@ -220,12 +268,16 @@ def paired(rows: DataFrame, blocks: Column, own: Column) -> DataFrame:
 
 
 def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF, most: int = MOST) -> DataFrame:
-    """(a, b): pairs of nodes(fp) that connect all that share a region of some trie, `depth` bits or less, and are close.
+    """(a, b): pairs of nodes(fp, low, high) that connect all that share a region of some trie, `depth` bits or less, are
+    close, and whose weights, from low to high, don't rule out that they are ALIKE; without low and high, all weigh the same.
 
     A branch of a trie is one task's. Branches of more than `most` rows, which dense regions have, are dealt to blocks,
     and each two blocks are one task's: a block holds fewer rows of each prefix, so its regions are as wide or wider.
     """
     coarse = max(0, depth - CLIMB)
+    if "low" not in nodes.columns:
+        nodes = nodes.withColumns({"low": F.lit(1.0).cast("float"), "high": F.lit(1.0).cast("float")})
+    nodes = nodes.select("fp", "low", "high")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [permutation(t)[:depth] for t in range(tries)]
@@ -238,18 +290,16 @@ def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF, most
                     key = np.zeros(len(bits), np.int64)
                     for j in order:
                         key = key << 1 | bits[:, j]
-                    arrays = [pa.array(np.full(len(bits), t, np.int32)), pa.array(key >> (depth - coarse)), fp]
-                    yield pa.RecordBatch.from_arrays(arrays, ["trie", "branch", "fp"])
+                    arrays = [pa.array(np.full(len(bits), t, np.int32)), pa.array(key >> (depth - coarse)), *batch.columns]
+                    yield pa.RecordBatch.from_arrays(arrays, ["trie", "branch", "fp", "low", "high"])
 
     def climb(key: tuple, rows: pa.Table) -> pa.Table:
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        turned = np.packbits(np.unpackbits(fps, axis=1)[:, permutation(key[0].as_py())], axis=1)
-        order = np.lexsort(turned.T[::-1])
-        fps, turned = np.ascontiguousarray(fps[order]), turned[order]
-        prefix = np.zeros(len(fps), np.uint64)
-        for k in range(8):
-            prefix = prefix << np.uint64(8) | turned[:, k].astype(np.uint64)
-        pairs = links(fps.view(np.uint64), regions(prefix, coarse, depth, leaf), int(LIMIT * BITS))
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+        prefix = leading(fps, permutation(key[0].as_py())[:64])
+        order = np.argsort(prefix)
+        fps, prefix = fps[order], prefix[order]
+        low, high = (rows.column(c).to_numpy().astype(np.float64)[order] for c in ("low", "high"))
+        pairs = links(fps, regions(prefix, coarse, depth, leaf), int(LIMIT * BITS), low, high)
         one, two = ([fps[p[i]].tobytes() for p in pairs] for i in range(2))
         return pa.table({"a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
@@ -258,13 +308,13 @@ def close_pairs(nodes: DataFrame, depth: int, tries: int, leaf: int = LEAF, most
             branch, n = np.unique(b.column(1).to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b.column(0)[0].as_py(), np.int32)), pa.array(branch), pa.array(n)], ["trie", "branch", "n"])
 
-    planted = nodes.select("fp").mapInArrow(plant, "trie int, branch long, fp binary")
+    planted = nodes.mapInArrow(plant, "trie int, branch long, fp binary, low float, high float")
     if nodes.count() > most:
-        sizes = nodes.select("fp").mapInArrow(tally, "trie int, branch long, n long").groupBy("trie", "branch").agg(F.sum("n").alias("n"))
+        sizes = nodes.mapInArrow(tally, "trie int, branch long, n long").groupBy("trie", "branch").agg(F.sum("n").alias("n"))
         dense = cut(sizes.where(F.col("n") > most).select("trie", "branch", F.ceil(2 * F.col("n") / most).alias("blocks")))
         dense = F.broadcast(dense) if dense.count() <= NARROW else dense
         planted = paired(planted.join(dense, ["trie", "branch"], "left"), F.coalesce("blocks", F.lit(1)), F.xxhash64("fp"))
-        return planted.select("trie", "branch", "one", "two", "fp").groupBy("trie", "branch", "one", "two").applyInArrow(climb, "a binary, b binary")
+        return planted.select("trie", "branch", "one", "two", "fp", "low", "high").groupBy("trie", "branch", "one", "two").applyInArrow(climb, "a binary, b binary")
     return planted.groupBy("trie", "branch").applyInArrow(climb, "a binary, b binary")
 
 
@@ -364,7 +414,7 @@ def grouped(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """fingerprinted(docs) and root: the least fingerprint and word set of the group, null for null texts."""
     weights = word_weights(docs)
     found = fingerprinted(docs, weights)
-    nodes = cut(found.where("fp is not null").select("fp").distinct())
+    nodes = cut(found.where("fp is not null").groupBy("fp").agg(F.min("weight").alias("low"), F.max("weight").alias("high")))
     depth, tries = shape(nodes.count(), leaf)
     roots = components(close_pairs(nodes, depth, tries, leaf))
     linked = cut(found.where("fp is not null").join(roots, found.fp == roots.node, "left").select("h", "fp", "ws", F.coalesce("root", "fp").alias("root")))
@@ -387,7 +437,8 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     weighted by inverse document frequency over all documents; case, punctuation, order and repetition don't count.
     Candidates share a region of one of several tries over permuted bits: where fingerprints are sparse the prefix is
     shortened until a leaf is full. Greatest depth and number of tries follow from how many fingerprints there are, so
-    that each pair up to LIMIT apart is found with probability RECALL or more; equal fingerprints always are. All
+    that each pair up to LIMIT apart is found with probability RECALL or more; equal fingerprints always are. Pairs of
+    which one's words weigh too much for the other's to be ALIKE are not compared. All
     candidates are verified: copies are LIMIT of the bits apart at most, and the weights of the words that they share
     are ALIKE of those of all their words at least.
 

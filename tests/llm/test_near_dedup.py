@@ -82,6 +82,44 @@ def test_links_connect_what_all_pairs_do(seed):
     assert (parts[0] == parts[1]).all() and len(pairs) < 1300
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_links_by_weight_lose_no_pair_that_can_be_alike(seed):
+    """Some rows' word sets differ in weight, some groups fill blocks; none is connected that all pairs don't."""
+    r = np.random.default_rng(seed)
+    n = 1500
+    base = r.integers(0, 2**63, (40, nd.WORDS)).astype(np.uint64)
+    of = np.where(r.random(n) < 0.4, 0, r.integers(0, 40, n))
+    fps = base[of] ^ (np.uint64(1) << r.integers(0, 64, (n, nd.WORDS)).astype(np.uint64))
+    prefix = np.sort(r.integers(0, 2, n)).astype(np.uint64)
+    low = np.exp(r.normal(size=n) * 1.5)
+    high = low * np.where(r.random(n) < 0.2, 2, 1)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= 9) & (prefix[:, None] == prefix[None])
+    can = near & (high[:, None] >= nd.ALIKE * low[None]) & (high[None] >= nd.ALIKE * low[:, None])
+    pairs = nd.links(fps, prefix, 9, low, high)
+    group = linked_groups(pairs)
+    assert all(near[i, j] for i, j in pairs)
+    assert all(group[i] == group[j] for i, j in zip(*np.nonzero(can)) if i != j)
+    alone = nd.links(fps[:2] * np.uint64(0), prefix[:2] * np.uint64(0), 9, np.array([1.0, 2.0]), np.array([1.0, 2.0]))
+    assert alone == [(0, 1)], "neighbours in the trie are compared whatever they weigh"
+
+
+def test_far_weights_are_not_compared(monkeypatch):
+    """Rows that weigh 1, 2, 4 and so on: all pairs would be 30 times as many."""
+    r = np.random.default_rng(1)
+    fps, weight = r.integers(0, 2**63, (20000, nd.WORDS)).astype(np.uint64), 2.0 ** r.integers(0, 30, 20000)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(nd.np, "bitwise_count", lambda x, **k: compared.append(x.size) or count(x, **k))
+    assert nd.links(fps, np.zeros(20000, np.uint64), 69, weight, weight) == []
+    assert sum(compared) < 3 * 20000**2 / 30
+
+
+def test_leading_bits_are_those_of_the_permutation():
+    fps = np.random.default_rng(2).integers(0, 256, (50, nd.BITS // 8)).astype(np.uint8)
+    order = nd.permutation(3)[:64]
+    want = np.packbits(np.unpackbits(fps, axis=1)[:, order], axis=1).astype(np.uint64)
+    assert (nd.leading(fps.view(np.uint64), order) == (want << np.arange(56, -1, -8, dtype=np.uint64)).sum(axis=1)).all()
+
+
 def test_shape_reaches_the_recall():
     for n in (1, 10, 10_000, 10**8):
         depth, tries = nd.shape(n)
