@@ -19,6 +19,8 @@ ALPHA = 2e-4
 SPACE = "▁"
 SLICE = 1 << 20
 SLOT_BITS, PAIR_BITS = 18, 20
+#: The state of the random numbers before any part.
+BEGIN = np.uint64(0x8B72E9D5)
 SPREAD = np.uint64(0xD1342543DE82EF95)
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, exact boolean"
 
@@ -149,7 +151,8 @@ class Lattice:
 
     The edges of a node are first[node] .. first[node + 1] - 1, shortest pieces first: node; id, the piece's or -2 - c for
     the bytes of character c; to, the node it leads to; weight, its scaled score; p, its probability given the node, over
-    all completions; run, the running sum of the node's probabilities. beta is the log of a node's completions' weight.
+    all completions, and logs, its log; run, the running sum of the node's probabilities. beta is the log of a node's
+    completions' weight.
     """
 
     text: np.ndarray
@@ -164,10 +167,11 @@ class Lattice:
     weight: np.ndarray
     beta: np.ndarray
     p: np.ndarray
+    logs: np.ndarray
     run: np.ndarray
 
     def log_prob(self, edge: np.ndarray) -> np.ndarray:
-        return self.weight[edge] + self.beta[self.to[edge]] - self.beta[self.node[edge]]
+        return self.logs[edge]
 
     def others(self, node: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nodes x slots) log probabilities of the nodes' edges, -inf for those in the bit sets taken; and the log of
@@ -231,30 +235,35 @@ def lattice(texts: list[str], v: Vocabulary) -> Lattice:
         ids[edge] = np.where(piece >= 0, v.ids[piece], -2 - codes[where[node]].astype(np.int64))
         weight[edge] = np.where(piece >= 0, v.scores[piece], v.worst)
         to[edge] = row[left[node] - n] + owner[node]
-    beta, p = np.zeros(nodes), np.empty(len(ids))
+    beta, p, logs = np.zeros(nodes), np.empty(len(ids)), np.empty(len(ids))
     group = np.repeat(np.arange(nodes), degree)
     for r in range(1, most + 1):
         a, b = row[r], row[r + 1]
         edges = slice(first[a], first[b])
         starts, own = first[a:b] - first[a], group[edges] - a
-        values = weight[edges] + beta[to[edges]]
+        values = logs[edges] = weight[edges] + beta[to[edges]]
         top = np.maximum.reduceat(values, starts)
         values = np.exp(values - top[own])
         total = np.add.reduceat(values, starts)
         beta[a:b] = top + np.log(total)
         p[edges] = values / total[own]
+    logs -= beta[group]
     run = np.cumsum(p)
     run -= np.concatenate([[0.0], run])[first[group]]
-    return Lattice(text, word, size, row, left, first, group, ids, to, weight, beta, p, run)
+    return Lattice(text, word, size, row, left, first, group, ids, to, weight, beta, p, logs, run)
 
 
-def uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """Random numbers in (0, 1), a function of the parts alone."""
+def stirred(x: np.ndarray | np.uint64, *parts: np.ndarray | int) -> np.ndarray:
+    """The state of the random numbers after further parts."""
     with np.errstate(over="ignore"):
-        x = np.uint64(0x8B72E9D5)
         for p in parts:
             x = mix(np.asarray(p).astype(np.uint64) + (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    return x
+
+
+def uniform(*parts: np.ndarray | int, state: np.ndarray | np.uint64 = BEGIN) -> np.ndarray:
+    """Random numbers in (0, 1), a function of the parts alone; state is what stirred() gives for the first of them."""
+    return ((stirred(state, *parts) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
 def truncated(mass: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -278,24 +287,26 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
     ordinal = np.arange(len(text)) - (np.cumsum(count) - count)[text]
     initial = lat.row[lat.size[word]] + word
 
-    def walk(r: int, inst: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Random completions of words from nodes on: (word instance, edge) of each piece, those of a word in order."""
+    def walk(r: int, inst: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random completions of words from nodes on: (word instance, edge, place in the completion) of each piece, those
+        of a word in order."""
         out = []
         with np.errstate(over="ignore"):
             turn = np.uint64(0xA24BAED4963EE407 * r & (1 << 64) - 1)
-            key = mix(seeds[text[inst]] + turn) + ordinal[inst].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            key = mix(seeds + turn)[text[inst]] + ordinal[inst].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        key = stirred(BEGIN, key)
         while len(inst):
-            u = uniform(key, lat.left[node])
+            u = uniform(lat.left[node], state=key)
             edge, stop = lat.first[node], lat.first[node + 1] - 1
             more = np.flatnonzero((lat.run[edge] < u) & (edge < stop))
             while len(more):
                 edge[more] += 1
                 more = more[(lat.run[edge[more]] < u[more]) & (edge[more] < stop[more])]
-            out.append((inst, edge))
+            out.append((inst, edge, np.full(len(inst), len(out))))
             node = lat.to[edge]
-            go = node >= len(lat.size)
+            go = np.flatnonzero(node >= len(lat.size))
             inst, node, key = inst[go], node[go], key[go]
-        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(2))
+        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
     paths: list[dict[str, np.ndarray]] = []
     value = -np.log(-np.log(uniform(seeds, 1 << 40)))
@@ -303,7 +314,10 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
     for r in range(k + 1):
         cut_at, banned = np.full(texts, -1), np.zeros(texts, np.int64)
         if not r:
-            inst, edge = walk(r, np.arange(len(text)), initial)
+            found, unordered, place = walk(r, np.arange(len(text)), initial)
+            pieces = np.bincount(found, minlength=len(text))
+            inst, edge = np.repeat(np.arange(len(text)), pieces), np.empty(len(found), np.int64)
+            edge[(np.cumsum(pieces) - pieces)[found] + place] = unordered
         else:
             best, chosen, where = np.full(texts, -np.inf), np.full(texts, -1), np.zeros(texts, np.int64)
             for s, p in enumerate(paths):
@@ -346,9 +360,9 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
                 starters.append((rest, initial[rest]))
             fresh = walk(r, *(np.concatenate([x[i] for x in starters]) if starters else np.zeros(0, np.int64) for i in range(2)))
             inst, edge = (np.concatenate([*[x[i] for x in kept], fresh[i]]) for i in range(2))
-        # Of one word the pieces are in order already.
-        order = np.argsort(inst, kind="stable")
-        inst, edge = inst[order], edge[order]
+            # Of one word the pieces are in order already.
+            order = np.argsort(inst, kind="stable")
+            inst, edge = inst[order], edge[order]
         owner = text[inst]
         size = np.bincount(owner, minlength=texts)
         first = np.cumsum(size) - size
@@ -360,12 +374,13 @@ def sample(lat: Lattice, seeds: np.ndarray, texts: int, k: int) -> Iterator[tupl
         out = np.zeros(len(owner), np.int64)
         at = np.flatnonzero(index == cut_at[owner])
         out[at] = banned[owner[at]]
+        p = lat.p[edge]
         with np.errstate(divide="ignore"):
-            mass = before + np.log1p(-np.minimum(lat.p[edge], 1))
-        # Where little is left, or more is taken, the rest is summed.
-        near = np.flatnonzero((lat.p[edge] > 1 - 1e-6) | (out > 0))
+            mass = before + np.log1p(-np.minimum(p, 1))
+        # Where little is left, or more is taken, the rest is summed; of a single edge nothing is left.
+        near = np.flatnonzero(((p > 1 - 1e-6) | (out > 0)) & (lat.first[node + 1] - lat.first[node] > 1))
         mass[near] = before[near] + lat.others(node[near], out[near] | 1 << (edge[near] - lat.first[node[near]]))[1]
-        values = truncated(mass, value[owner], uniform(seeds[owner], r, (1 << 42) + index))
+        values = truncated(mass, value[owner], uniform((1 << 42) + index, state=stirred(BEGIN, seeds, r)[owner]))
         values[index < cut_at[owner]] = -np.inf
         paths.append({"text": owner, "inst": inst, "node": node, "edge": edge, "value": values, "banned": out})
         yield owner, edge, np.where(live, total, -np.inf), np.where(live, value, -np.inf)

@@ -111,3 +111,16 @@ def test_table(spark):
     assert all(r.t == text[r.doc_id] for r in back) and len(back) > 12
     assert len({(r.sample, tuple(r.ids)) for r in rows if r.doc_id == 1}) == 2 and sum(r.doc_id == 1 for r in rows) == 4
     assert s.encode(edges.documents(spark, [])).count() == 0
+
+
+def test_edges_have_their_log_probability_and_words_their_pieces_in_order():
+    """Log probabilities are looked up, and the first sample's pieces are put in place without sorting."""
+    v = s.Vocabulary.load()
+    texts = ["the river and its banks", "", "a", "Überlauf \U0001f600 the the river", " ".join(map(str, range(300)))]
+    lat = s.lattice(texts, v)
+    assert np.array_equal(lat.logs, lat.weight + lat.beta[lat.to] - lat.beta[lat.node]) and np.allclose(np.exp(lat.logs), lat.p)
+    owner, edge, _, _ = next(s.sample(lat, np.arange(5).astype(np.uint64), 5, 2))
+    assert (np.diff(owner) >= 0).all()
+    follows = lat.to[edge[:-1]] == lat.node[edge[1:]]
+    ends = lat.to[edge] < len(lat.size)
+    assert (follows | ends[:-1]).all() and ends.sum() == len(lat.word)
