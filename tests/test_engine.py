@@ -226,6 +226,26 @@ def test_compaction_takes_small_parts_first(spark, tmp_path):
     assert engine.sql("SELECT COUNT(*) FROM t").first()[0] == 100_005
 
 
+@pytest.mark.parametrize("key", ["k", "same"])
+def test_compaction_sorts_ranges_that_fit_in_memory(spark, tmp_path, monkeypatch, key):
+    """Parquet packs these rows to a few bytes each, and `same` holds one value: neither may make a task's sort larger."""
+    monkeypatch.setattr(parts_module, "SORT_BYTES", 1 << 20, raising=False)
+    engine = Engine(spark, str(tmp_path))
+    table = engine.create_table(TableSchema.of("t", {"k": "I64", "same": "U64", "v": "Str"}, (("k", "same").index(key),)))
+    half = spark.range(20_000).selectExpr("id", "7", "repeat('x', 100)")
+    engine.insert("t", half)
+    engine.insert("t", half.selectExpr("id + 20000", "7", "'y'"))
+    [new] = engine.compact("t")
+    files = [spark.read.parquet(f"{table.files.where('t')}/{new.folder}/{n}") for n in table.files.names(f"t/{new.folder}") if n.endswith(".parquet")]
+    assert len(files) >= 6
+    assert max(table._sorted_bytes(f) for f in files) < 2 << 20
+    for f in files:
+        held = [r[key] for r in f.collect()]
+        assert held == sorted(held)
+    want = [tuple(r) for r in half.selectExpr("id", "7", "repeat('x', 100)").union(half.selectExpr("id + 20000", "7", "'y'")).collect()]
+    assert rows(engine, "SELECT k, same, v FROM t") == sorted(want)
+
+
 def test_compactions_at_the_same_time(spark, tmp_path):
     one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
     table = one.create_table(TableSchema.of("t", {"k": "I64"}))
