@@ -246,6 +246,21 @@ def test_compaction_sorts_ranges_that_fit_in_memory(spark, tmp_path, monkeypatch
     assert rows(engine, "SELECT k, same, v FROM t") == sorted(want)
 
 
+def test_compacting_again_sorts_ranges_that_fit_in_memory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parts_module, "SORT_BYTES", 1 << 20, raising=False)
+    engine = Engine(spark, str(tmp_path))
+    table = engine.create_table(TableSchema.of("t", {"k": "I64", "v": "Str"}, (0,)))
+    for low in (0, 15_000):
+        engine.insert("t", spark.range(low, low + 15_000).selectExpr("id", "'x'"))
+    engine.compact("t")
+    engine.insert("t", spark.range(0, 30_000, 7).selectExpr("id", "'x'"))
+    [new] = engine.compact("t")
+    files = [n for n in table.files.names(f"t/{new.folder}") if n.endswith(".parquet")]
+    assert len(files) >= 3 and new.replaces == {1, 2, 3, 4}
+    want = sorted([*range(30_000), *range(0, 30_000, 7)])
+    assert sorted(r.k for r in engine.sql("SELECT k FROM t").collect()) == want
+
+
 def test_compactions_at_the_same_time(spark, tmp_path):
     one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
     table = one.create_table(TableSchema.of("t", {"k": "I64"}))
